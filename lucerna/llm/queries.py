@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import encodings, invalid_source, secrets
+from . import documented, encodings, invalid_source, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "p2_redacted_chunks": lambda s, d: secrets.redacted(read(s, d, "chunks"), ["repository_id", "file_path", "chunk_index"]).where("secrets > 0").distinct(),
         "p3_found": lambda s, d: encodings.garbled_files(read(s, d, "files")),
         "p3_restored": lambda s, d: encodings.restored_files(read(s, d, "files")),
+        "p4_found": lambda s, d: documented.documented_functions(read(s, d, "chunks")),
+        "p4_pairs": lambda s, d: documented.pairs(read(s, d, "chunks")).distinct(),
     }
 
 
