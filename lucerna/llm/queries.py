@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import documented, encodings, invalid_source, secrets
+from . import documented, encodings, invalid_source, secrets, unwritten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "p3_restored": lambda s, d: encodings.restored_files(read(s, d, "files")),
         "p4_found": lambda s, d: documented.documented_functions(read(s, d, "chunks")),
         "p4_pairs": lambda s, d: documented.pairs(read(s, d, "chunks")).distinct(),
+        "p5_found": lambda s, d: unwritten.unwritten_files(read(s, d, "files")),
+        "p5_reasons": lambda s, d: unwritten.judged_files(read(s, d, "files")),
+        "p5_hand_written": lambda s, d: unwritten.hand_written(read(s, d, "files")),
     }
 
 
