@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import documented, encodings, invalid_source, secrets, unwritten
+from . import documented, encodings, invalid_source, leakage, secrets, unwritten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: unwritten.unwritten_files(read(s, d, "files")),
         "p5_reasons": lambda s, d: unwritten.judged_files(read(s, d, "files")),
         "p5_hand_written": lambda s, d: unwritten.hand_written(read(s, d, "files")),
+        "p6_found": lambda s, d: leakage.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
+        "p6_items": lambda s, d: leakage.leaks_by_item(read(s, d, "documents"), read(s, d, "eval_items")),
+        "p6_cleaned": lambda s, d: leakage.cleaned(read(s, d, "documents"), read(s, d, "eval_items")),
     }
 
 
