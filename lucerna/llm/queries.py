@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read
-from . import documented, encodings, invalid_source, leakage, secrets, unwritten
+from . import abuse, documented, encodings, invalid_source, leakage, mixing, secrets, unwritten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def queries() -> dict[str, Query]:
         "p6_found": lambda s, d: leakage.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
         "p6_items": lambda s, d: leakage.leaks_by_item(read(s, d, "documents"), read(s, d, "eval_items")),
         "p6_cleaned": lambda s, d: leakage.cleaned(read(s, d, "documents"), read(s, d, "eval_items")),
+        "p7_mix": lambda s, d: mixing.mix(read(s, d, "documents"), read(s, d, "mix_targets")),
+        "p7_shares": lambda s, d: mixing.shares(read(s, d, "documents"), read(s, d, "mix_targets")),
+        "p8_found": lambda s, d: abuse.abusive(read(s, d, "documents"), read(s, d, "doc_labels")),
+        "p8_scores": lambda s, d: abuse.scores(read(s, d, "documents"), read(s, d, "doc_labels")),
+        "p8_rates": lambda s, d: abuse.rates(read(s, d, "documents"), read(s, d, "doc_labels")),
     }
 
 
