@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import repository, search
 
-MODULES = [search]
+MODULES = [search, repository]
 
 
 def queries() -> dict:
