@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import repository, search
+from . import files, repository, search
 
-MODULES = [search, repository]
+MODULES = [search, repository, files]
 
 
 def queries() -> dict:
