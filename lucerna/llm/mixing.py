@@ -17,6 +17,7 @@ doc_id and seed only, so a run can be repeated.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,9 +78,9 @@ def _plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None) -> tup
     return plan, sums.withColumn("before", F.coalesce(before, F.lit(0)))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens, repeats) of the documents of the mixture; total_tokens defaults to all tokens of sources with a target."""
-    sized = _sized(documents, seed, vocabulary)
+def _mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None, seed: int, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+    """The plan by source and the documents of the mixture. Tokens are counted once; the counted rows, without texts, are kept on disk."""
+    sized = _sized(documents, seed, vocabulary).persist(StorageLevel.DISK_ONLY)
     plan, buckets = _plan(sized, targets, total_tokens)
     spent = buckets.join(plan.select("source", "epochs", "remainder"), "source")
     state = F.when(F.col("before") + F.col("bucket_tokens") <= F.col("remainder"), "in").when(F.col("before") < F.col("remainder"), "edge").otherwise("out")
@@ -90,14 +91,18 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     edge = edge.withColumn("extra", (F.col("before") + running <= F.col("remainder")).cast("int"))
     rest = placed.where("state <> 'edge'").withColumn("extra", (F.col("state") == "in").cast("int"))
     out = edge.unionByName(rest).select("doc_id", "source", "tokens", (F.col("epochs") + F.col("extra")).alias("repeats"))
-    return out.where("repeats > 0")
+    return plan, out.where("repeats > 0")
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, tokens, repeats) of the documents of the mixture; total_tokens defaults to all tokens of sources with a target."""
+    return _mixture(documents, targets, total_tokens, seed, vocabulary)[1]
 
 
 def shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per source target and actual share of the mixture, tokens available and used, and the highest number of uses."""
-    sized = _sized(documents, seed, vocabulary)
-    plan, _ = _plan(sized, targets, total_tokens)
-    used = mix(documents, targets, total_tokens, seed, vocabulary).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_uses"))
+    plan, chosen = _mixture(documents, targets, total_tokens, seed, vocabulary)
+    used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_uses"))
     out = plan.join(used, "source", "left").select(
         "source", "target_share", "max_repeats", "documents", "available", "budget", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("most_uses", F.lit(0)).alias("most_uses")
     )
