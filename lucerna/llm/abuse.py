@@ -78,10 +78,11 @@ HARMLESS = [
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|(?<=[。！？；])")
 _ZERO = re.compile(r"[­​-‏⁠﻿̀-ͯ]")
-_LOOKALIKE = str.maketrans("аеорсухіјкмтнвѕԁɡοαειυρνκτηΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХ", "aeopcyxijkmthbsdgoaeiupvktnabezhikmnoptyxabekmhopctx")
+_LOOKALIKE = str.maketrans("аеорсухіјкмтнвѕԁɡοαειυρνκτη", "aeopcyxijkmthbsdgoaeiupvktn")
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "€": "e", "¡": "i", "8": "b"})
 _SPACED = re.compile(r"(?<![\w'’])(?:[A-Za-z@$0-9][ .\-_*]){3,}[A-Za-z@$0-9](?![\w'’])")
 _MASKED = re.compile(r"[A-Za-z]+[*#_.•-]{1,}[A-Za-z]*(?:[*#•]+[A-Za-z]*)*|[*#•]+[A-Za-z]+")
+_MIXED = re.compile(r"[Ͱ-ӿ]*(?:[A-Za-z][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-z])[A-Za-zͰ-ӿ]*")
 _TERM = re.compile(r"[A-Za-zÀ-ɏ0-9@$!|+€]*[A-Za-zÀ-ɏ@$][A-Za-zÀ-ɏ0-9@$|+€]*(?:['’][A-Za-z]+)?|[Ͱ-ӿ]+|[一-鿿]+")
 
 
@@ -116,6 +117,8 @@ def _unmask(m: re.Match) -> str:
 def terms(sentence: str) -> list[str]:
     """Normalised terms of a sentence: words, senses and pairs of Chinese characters, each once."""
     s = unicodedata.normalize("NFKC", _ZERO.sub("", sentence)) if not sentence.isascii() else sentence
+    if not s.isascii():
+        s = _MIXED.sub(lambda m: m[0].lower().translate(_LOOKALIKE), s)
     shouted = s.upper() == s
     s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), s)
     if "*" in s or "#" in s or "•" in s or "." in s[:-1]:
@@ -132,8 +135,6 @@ def terms(sentence: str) -> list[str]:
                     for sense in by_word[h]:
                         out["=" + sense] = None
             continue
-        if not w.isascii() and any("Ͱ" <= c <= "ӿ" for c in w):
-            w = w.translate(_LOOKALIKE)
         w = w.replace("’", "'").strip("!|+")
         if not w.isalpha() and "'" not in w and any(c.isalpha() for c in w):
             w = w.translate(_LEET)

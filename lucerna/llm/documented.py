@@ -191,7 +191,10 @@ def documented(content: str | None, lang: str | None) -> tuple[str, str, int, in
     elif not content.lstrip("﻿ \t\r\n").startswith("/"):
         return None
     content = content.removeprefix("﻿")
-    kept = _PEGS[family].parse(content)
+    try:
+        kept = _PEGS[family].parse(content)
+    except RecursionError:  # brackets nested hundreds deep
+        return None
     if kept is None:
         return None
     docs = [(a, b) for r, a, b in kept if r == ("Text" if family == "python" else "Comment")]

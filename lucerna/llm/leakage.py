@@ -109,7 +109,7 @@ def _grams(ws: list[str]) -> list[str]:
 
 def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end) with the characters of the longest passage of each leaked item."""
-    rows = [(r.item_id, r.suite, r.text) for r in items.select("item_id", "suite", "text").distinct().toLocalIterator()]
+    rows = [(r.item_id, r.suite, r.text) for r in items.where("item_id is not null").select("item_id", "suite", "text").distinct().toLocalIterator()]
     proper = items_proper(rows) if rows else {}
     blocks: list[dict[int, list[str]]] = [{}]
     size = 0
