@@ -50,7 +50,11 @@ def limited_requests(events: DataFrame, key: str, time: str, order: str, limit:
 
 
 def limit_stream(stream: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
-    """The same over a stream (who string, at timestamp, id bigint): the times that passed are each key's state, dropped when idle."""
+    """The same over a stream (who string, at timestamp, id bigint): the times that passed are each key's state.
+
+    A key's state is dropped when the watermark, an hour behind the latest request, has left its window; requests
+    later than that are dropped, too.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -60,7 +64,8 @@ def limit_stream(stream: DataFrame, limit: int = 120, seconds: int = 60) -> Data
         pdf = pd.concat(list(batches)).sort_values(["at", "id"])
         ok, passed = _pass([x.timestamp() for x in pdf["at"]], passed, limit, seconds)
         state.update((passed,))
-        state.setTimeoutDuration(2000 * seconds)
+        last = int(1000 * (passed[-1] + seconds)) if passed else 0
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"id": pdf["id"], "who": pdf["who"], "allowed": ok})
 
-    return stream.groupBy("who").applyInPandasWithState(step, "id bigint, who string, allowed boolean", "passed array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("at", "1 hour").groupBy("who").applyInPandasWithState(step, "id bigint, who string, allowed boolean", "passed array<double>", "append", GroupStateTimeout.EventTimeTimeout)
