@@ -80,7 +80,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+|(?<=[。！？；])")
 _ZERO = re.compile(r"[­​-‏⁠﻿̀-ͯ]")
 _LOOKALIKE = str.maketrans("аеорсухіјкмтнвѕԁɡοαειυρνκτη", "aeopcyxijkmthbsdgoaeiupvktn")
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "€": "e", "¡": "i", "8": "b"})
-_SPACED = re.compile(r"(?<![\w'’])(?:[A-Za-z@$0-9][ .\-_*]){3,}[A-Za-z@$0-9](?![\w'’])")
+_SPACED = re.compile(r"(?<![\w'’])[A-Za-z@$0-9](?:([ .\-_*])[A-Za-z@$0-9])(?:\1[A-Za-z@$0-9]){2,}(?![\w'’])")
 _MASKED = re.compile(r"[A-Za-z]+[*#_.•-]{1,}[A-Za-z]*(?:[*#•]+[A-Za-z]*)*|[*#•]+[A-Za-z]+")
 _MIXED = re.compile(r"[Ͱ-ӿ]*(?:[A-Za-z][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-z])[A-Za-zͰ-ӿ]*")
 _TERM = re.compile(r"[A-Za-zÀ-ɏ0-9@$!|+€]*[A-Za-zÀ-ɏ@$][A-Za-zÀ-ɏ0-9@$|+€]*(?:['’][A-Za-z]+)?|[Ͱ-ӿ]+|[一-鿿]+")
@@ -97,6 +97,14 @@ def _senses() -> tuple[dict[str, list[str]], list[str], list[str]]:
     return by_word, han, plain
 
 
+def _unspace(m: re.Match) -> str:
+    """Letters set apart, joined to a word; an article before it isn't part of it."""
+    word = m[0].replace(m[1], "")
+    known = _senses()[0]
+    plain = lambda w: w.lower().translate(_LEET)
+    return f"{word[0]} {word[1:]}" if plain(word) not in known and plain(word[1:]) in known else word
+
+
 def _unmask(m: re.Match) -> str:
     """The harsh word that fits a masked one, if any."""
     raw = m[0].lower()
@@ -120,7 +128,7 @@ def terms(sentence: str) -> list[str]:
     if not s.isascii():
         s = _MIXED.sub(lambda m: m[0].lower().translate(_LOOKALIKE), s)
     shouted = s.upper() == s
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), s)
+    s = _SPACED.sub(_unspace, s)
     if "*" in s or "#" in s or "•" in s or "." in s[:-1]:
         s = _MASKED.sub(_unmask, s)
     s = s.lower()
@@ -263,9 +271,10 @@ def train(rated: list[tuple[str, float]], rounds: int = 3) -> FactorizationMachi
 
 
 def rated_texts(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[str, float]]:
-    """Texts and mean ratings of at most bound rated documents, chosen by a hash of doc_id with the rare high ratings first."""
-    mean = labels.where("score is not null").groupBy("doc_id").agg(F.avg("score").alias("score"))
-    chosen = mean.orderBy(F.when(F.col("score") >= 1.75, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) + F.lit(1 << 19)), "doc_id").limit(bound)
+    """Texts and mean ratings of at most bound rated documents, chosen by a hash of doc_id: up to a third rated abusive, the rest not."""
+    mean = labels.where("score is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("score").alias("score")).withColumn("h", F.xxhash64("doc_id"))
+    high = mean.where("score >= 1.75").orderBy("h", "doc_id").limit(bound // 3)
+    chosen = high.unionByName(mean.where("score < 1.75").orderBy("h", "doc_id").limit(bound - bound // 3)).drop("h")
     rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "score").toArrow()
     order = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), rows.column("score").to_pylist(), strict=True), key=lambda r: r[0])
     return [(t, float(s)) for _, t, s in order]
