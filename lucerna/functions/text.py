@@ -160,3 +160,17 @@ def json_array(text: Column) -> Column:
     """The first JSON array of objects or values in a text that may be fenced, as array<string>; null if there is none."""
     bare = F.regexp_replace(F.regexp_replace(strip(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
     return F.coalesce(F.from_json(bare, "array<string>"), F.from_json(F.nullif(F.regexp_extract(bare, r"(\[[\s\S]*\])", 1), F.lit("")), "array<string>"))
+
+
+def repository_id(url: Column) -> Column:
+    """Readable id of a repository address: its last two path parts and ten digits of the SHA-1 of the address without trailing slashes."""
+    plain = F.regexp_replace(url, "/+$", "")
+    path = F.filter(F.split(F.regexp_replace(F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", ""), "/"), lambda x: x != "")
+    last = F.when(F.size(path) >= 2, F.array_join(F.slice(path, F.size(path) - 1, F.lit(2)), "-")).otherwise("repository")
+    readable = F.regexp_replace(F.regexp_replace(last, r"[^a-zA-Z0-9_-]+", "-"), r"^-+|-+$", "")
+    return F.concat(readable, F.lit("-"), F.substring(F.sha1(plain.cast("binary")), 1, 10))
+
+
+def embedding_signature(provider: str, model: str) -> Column:
+    """Name of an embedding: the provider and eight digits of the SHA-1 of provider and model."""
+    return F.concat(F.lit(provider.lower().strip().replace("-", "_") + "_"), F.substring(F.sha1(F.lit(f"{provider.lower().strip()}:{model}").cast("binary")), 1, 8))
