@@ -35,7 +35,7 @@ def redact_chunks(s, d):
 
 
 def debug_preview(s, d):
-    c = unique_chunks(read(s, d, "chunks"))
+    c = unique_chunks(read(s, d, "chunks")).withColumn("content", F.coalesce("content", F.lit("")))
     return c.select(*KEY, F.substring(TX.redact(F.col("content")), 1, 260).alias("preview"), TX.preview(F.col("content")).alias("line"))
 
 
@@ -199,6 +199,7 @@ def oracle_sql():
         "path_filter": f"SELECT DISTINCT file_path, {_IGNORED} AS ignored_folder, {_RULE} AS rule, ({_KEPT}) AS included FROM files WHERE file_path IS NOT NULL",
         "language_lookup": f"SELECT {_LANGUAGE} AS language, {_EXT} AS extension, count(*) AS files FROM files WHERE file_path IS NOT NULL GROUP BY 1, 2",
         "redact_chunks": f"WITH {O.CHUNKS} SELECT repository_id, file_path, chunk_index, {_redact('content')} AS redacted FROM c WHERE contains({_redact('content')}, '[REDACTED]')",
+        "debug_preview": f"WITH {O.CHUNKS}, p AS (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS flat FROM c) SELECT repository_id, file_path, chunk_index, substring({_redact('content')}, 1, 260) AS preview, CASE WHEN length(flat) > 260 THEN substring(flat, 1, 260) || '...' ELSE flat END AS line FROM p",
         "core_modules": f"""WITH {f}, {_LISTED}, g AS (SELECT repository_id, CASE WHEN NOT contains(file_path, '/') OR file_path LIKE '.%' THEN '.' ELSE string_split(file_path, '/')[1] END AS module, count(*) AS files,
   CAST(sum(size_bytes) AS BIGINT) AS bytes, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages FROM l GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY files DESC, bytes DESC, module) AS place FROM g) WHERE place <= 12""",
