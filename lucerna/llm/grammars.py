@@ -114,7 +114,8 @@ Switch = ('case' Expr ':' Stmt* | 'default' ':' Stmt*)* ;
 CatchP = Target T((':' Type)?) ;
 ForHead = (VarDecl | Expr)? ';' Expr? ';' Expr? | ('var' | 'let' | 'const' | 'using')? (Target | Lhs) ('of' | 'in') Expr ;
 Paren = Expr ;
-Args = ('...'? Assign (',' '...'? Assign)* ','?)? ;
+Args = (Spread (',' Spread)* ','?)? ;
+Spread = '...'? Assign ;
 Arr = ','* ('...'? Assign (','+ '...'? Assign)* ','*)? ;
 Index = Expr ;
 Obj = (Prop (',' Prop)* ','?)? ;
@@ -248,7 +249,8 @@ Params = (Param (',' Param)*)? ;
 Param = Mod* Type (Annot* '...')? (NAME @Empty* | (NAME '.')? 'this') ;
 VarDecls = VarDecl (',' VarDecl)* ;
 VarDecl = NAME @Empty* ('=' (@ArrInit | Expr))? ;
-ArrInit = ((Expr | @ArrInit) (',' (Expr | @ArrInit))* ','?)? ;
+ArrInit = (ArrItem (',' ArrItem)* ','?)? ;
+ArrItem = Expr | @ArrInit ;
 Block = Stmt* ;
 Local = Mod* Type VarDecls ;
 Stmt = @Block | ';' | Local ';' | TypeDecl | 'if' @Paren Stmt ('else' Stmt)? | 'while' @Paren Stmt | 'do' Stmt 'while' @Paren ';'
@@ -342,7 +344,8 @@ Paren = Expr | Type ;
 Trail = '.' NAME | '.' @Assert | @Index | @Args | @Lit ;
 Assert = 'type' | Type ;
 Index = Expr? ':' Expr? (':' Expr)? | (Expr | Type) (',' (Expr | Type))* ','? ;
-Args = ((Expr | Type) (',' (Expr | Type))* '...'? ','?)? ;
+Args = (Arg (',' Arg)* '...'? ','?)? ;
+Arg = Expr | Type ;
 Lit = (LElem (',' LElem)* ','?)? ;
 LElem = (LVal ':')? LVal ;
 LVal = Expr | @Lit ;

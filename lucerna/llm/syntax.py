@@ -42,16 +42,37 @@ _TAIL = {
     "json": re.compile(r"[ \t\n\r]*\Z"),
 }
 _CLOSE = {")": "(", "]": "[", "}": "{"}
+#: Rules that derive every row of texts each of which they derive; others are never recognised in pieces.
+_JOINED = frozenset(("Script", "Module", "Block", "ClassBody", "File", "Tops", "Fields", "Iface", "Specs", "VSpecs", "TSpecs"))
+
+
+def _comma_list(g: Grammar, items: dict, rules: tuple[str, ...], s: str, comma: str) -> frozenset:
+    """The rules that derive a long list because one item rule derives each piece; the rest is for derive() to decide.
+
+    items: rule -> (item rules, whether a comma may end the list). What this names, derive() names too.
+    """
+    if s.count(comma) <= 6:
+        return frozenset()
+    pieces = s.split(comma)
+    ended = pieces[-1] == ""
+    if ended:
+        pieces.pop()
+    done = set()
+    for rule in rules:
+        alternatives, trailing = items.get(rule, ((), False))
+        if (trailing or not ended) and any(all(p and g.derive((item,), p) for p in pieces) for item in alternatives):
+            done.add(rule)
+    return frozenset(done)
 
 
 class Brackets:
     """A language whose structure is brackets, separators and semicolons."""
 
-    def __init__(self, text, classes, token, tail, tops, inside, breaks=False, slash=False, auto=False) -> None:
+    def __init__(self, text, classes, token, tail, tops, inside, items, breaks=False, slash=False, auto=False) -> None:
         self.g = Grammar(text, classes)
         self.token, self.tail, self.tops, self.breaks, self.slash, self.auto = token, _TAIL[tail], tops, breaks, slash, auto
         #: bracket -> (rules joined by nothing, rules joined by commas, others)
-        self.inside = inside
+        self.inside, self.items = inside, items
         k = self.g.kinds
         for x in "()[]{}":
             k.literal(x)
@@ -107,15 +128,8 @@ class Brackets:
         if stmts:
             rules |= g.lists(stmts, s, self._split(s))
         if lists and self.semi not in s:
-            left, comma = set(), self.comma
-            if s.count(comma) > 6:
-                pieces = s.split(comma)
-                if pieces[-1] == "":
-                    pieces.pop()
-                for rule in lists:
-                    if all(p and rule in g.derive((rule,), p) for p in pieces):
-                        left.add(rule)
-            rules |= frozenset(left)
+            left = _comma_list(g, self.items, lists, s, self.comma)
+            rules |= left
             rest = tuple(r for r in lists if r not in left)
             if rest:
                 rules |= g.derive(rest, s)
@@ -210,7 +224,7 @@ class Brackets:
         if stack:
             return False
         s = "".join(cur)
-        pieces = self._split(s)
+        pieces = self._split(s) if _JOINED.issuperset(self.tops) else [s]
         return bool(self.g.lists(self.tops, s, pieces))
 
     def _template(self, text: str, p: int) -> int:
@@ -267,6 +281,10 @@ def _script(text: str, typed: bool) -> Brackets:
             "(": ((), ("Args", "Paren", "Params", *(("PParen",) if typed else ())), ("ForHead", "CatchP")),
             "[": ((), ("Arr", "Index", "Computed", *(("Tuple", "TIndex") if typed else ())), ("IndexSig",) if typed else ()),
         },
+        {
+            "Obj": (("Prop",), True), "Names": (("NameAs",), True), "Enum": (("EItem",), True), "Args": (("Spread",), True), "Params": (("Param",), True),
+            "Arr": (("Spread",), True), "Tuple": (("TElem",), True), "Paren": (("Assign",), False), "Index": (("Assign",), False),
+        },
         breaks=True, slash=True,
     )
     return x
@@ -280,7 +298,9 @@ class Python:
         "FinH", "FinI", "DefH", "DefI", "Deco", "MatchH", "CaseH", "CaseI",
     )
     INSIDE = {"(": ("Paren", "Args", "Params", "Names", "WItems", "PSeq", "PArgs"), "[": ("Items", "Index", "TParams", "PSeq"), "{": ("Braces", "PMap")}
-    LISTS = {"Paren": "Paren", "Args": "Args", "Items": "Items", "Braces": "Braces", "Index": "Index", "Params": "Params"}
+    ITEMS = {
+        "Paren": (("StarExpr",), True), "Args": (("Arg",), True), "Items": (("StarExpr",), True), "Braces": (("Pair", "StarExpr"), True), "Index": (("Sub",), True), "Params": (("Param",), True),
+    }
     _STR = r"[rRbBuUfFtT]{0,2}(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'|''(?!')|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|\"\"(?!\"))"
     TOKEN = re.compile(
         r"((?>(?:[ \t\f]+|\\\r?\n)*))(?:(" + _STR + r")|([^\W\d]\w*)|((?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?[\d_]+)?[jJ]?)(?![^\W_a-z]))"
@@ -300,14 +320,8 @@ class Python:
         if got is None:
             if len(self.gmemo) > 300_000:
                 self.gmemo.clear()
-            starts, comma = self.INSIDE[bracket], self.k[","]
-            left: frozenset = frozenset()
-            if s.count(comma) > 6:
-                pieces = s.split(comma)
-                if pieces[-1] == "":
-                    pieces.pop()
-                done = [r for r in starts if r in self.LISTS and all(p and self.g.derive((r,), p) for p in pieces)]
-                left = frozenset(done)
+            starts = self.INSIDE[bracket]
+            left = _comma_list(self.g, self.ITEMS, starts, s, self.k[","])
             rest = tuple(r for r in starts if r not in left)
             got = self.gmemo[bracket, s] = self.g.kinds.group(left | self.g.derive(rest, s))
         return got
@@ -431,6 +445,7 @@ def parser(language: str):
                     "(": ((), ("Args", "Params", "LParams"), ("Paren", "ForHead", "CatchP", "Res", "CastType", "AnnArgs", "Patterns")),
                     "[": ((), (), ("Empty", "Index")),
                 },
+                {"ArrInit": (("ArrItem",), True), "ElemVals": (("ElemVal",), True), "Args": (("Expr",), False), "Params": (("Param",), False), "LParams": (("Param",), False)},
             )
         elif language == "go":
             x = Brackets(
@@ -440,10 +455,11 @@ def parser(language: str):
                     "(": (("Specs", "VSpecs", "TSpecs"), ("Args", "Params"), ("Paren", "PType", "Assert")),
                     "[": ((), (), ("Len", "Index", "TParams", "TArgs")),
                 },
+                {"Lit": (("LElem",), True), "Args": (("Arg",), True), "Params": (("Param",), True)},
                 auto=True,
             )
         else:
-            x = Brackets(G.JSON, G.JSON_CLASSES, _JSON_TOKEN, "json", ("File",), {"{": ((), ("Object",), ()), "[": ((), ("Array",), ()), "(": ((), (), ())})
+            x = Brackets(G.JSON, G.JSON_CLASSES, _JSON_TOKEN, "json", ("Value",), {"{": ((), ("Object",), ()), "[": ((), ("Array",), ()), "(": ((), (), ())}, {"Object": (("Pair",), False), "Array": (("Value",), False)})
         x.brace = set()
         x.openers = _AnyKind()
         if not hasattr(x, "before_cond"):

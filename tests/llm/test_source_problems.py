@@ -50,6 +50,22 @@ def test_grammars(lang):
     assert [t for t in BAD[lang] if not syntax.rejected(t, lang)] == []
 
 
+# (language, before the list, an item, after the list, whether it's valid)
+LISTS = [
+    ("json", "[", "1", ",]", False), ("json", "[", "1", "]", True), ("json", "[{}, ", "1", ", {},]", False), ("json", "{", '"a": 1', ",}", False), ("json", "{", '"a": 1', "}", True), ("json", "{", '"a": 1', "}{}", False), ("json", "[", "1", "][2]", False),
+    ("java", "class A { int x = f(", "1", ",); }", False), ("java", "class A { int x = f(", "1", "); }", True), ("java", "class A { void f(", "int a", ",) { } }", False), ("java", "class A { F f = (", "a", ", int b) -> 1; }", False), ("java", "class A { int[] x = {", "1", ",}; }", True),
+    ("python", "f(", "a", ", x for x in y)\n", False), ("python", "f(", "a", ", (x for x in y))\n", True), ("python", "x = [", "a", ", x for x in y]\n", False), ("python", "x = (", "a", ", yield b)\n", False), ("python", "x = {", "1: 2", ", 3}\n", False), ("python", "x = {", "1: 2", ", **y,}\n", True),
+    ("javascript", "x = (", "a", ",)", False), ("javascript", "x = ({[", "a", "]: 1})", False), ("javascript", "f(", "a", ", ...b,)", True), ("javascript", "x = [", "a", ",, b]", True), ("javascript", "x = `${{a: 1} {", "b", "}}`", False),
+    ("typescript", "let x: (", "A", ")", False), ("typescript", "let x: [", "A", ",]", True), ("go", "package a\nvar x = f(", "a", "..., b)\n", False), ("go", "package a\nvar x = f(", "a", ", b...)\n", True),
+]
+
+
+@pytest.mark.parametrize("lang,before,item,after,valid", LISTS)
+def test_verdicts_of_lists_are_the_same_at_every_length(lang, before, item, after, valid):
+    texts = {n: before + ", ".join([item] * n) + after for n in (3, 30)}
+    assert {n: not syntax.rejected(t, lang) for n, t in texts.items()} == {3: valid, 30: valid}
+
+
 def test_python_and_json_against_their_own_parsers():
     sources = [*GOOD["python"], *BAD["python"]]
     for t in sources + [x[: len(x) // 2] for x in sources]:
