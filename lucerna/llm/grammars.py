@@ -116,6 +116,8 @@ ForHead = (VarDecl | Expr)? ';' Expr? ';' Expr? | ('var' | 'let' | 'const' | 'us
 Paren = Expr ;
 Args = (Spread (',' Spread)* ','?)? ;
 Spread = '...'? Assign ;
+Spreading = '...' Assign ;
+Hole = Spread? ;
 Arr = ','* ('...'? Assign (','+ '...'? Assign)* ','*)? ;
 Index = Expr ;
 Obj = (Prop (',' Prop)* ','?)? ;
@@ -216,6 +218,7 @@ def _dialect(typed: bool) -> str:
 
 
 JAVASCRIPT, TYPESCRIPT = _dialect(False), _dialect(True)
+TSX = TYPESCRIPT.replace("'-' | '<' Type '>'", "'-'")
 
 JAVA = r"""
 File = (Top | ';')* ;

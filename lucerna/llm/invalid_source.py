@@ -12,7 +12,7 @@ once; files in other languages and rows with a null path aren't judged.
 from __future__ import annotations
 
 import ast
-import re
+import sys
 import warnings
 from collections.abc import Iterator
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import file_name, language
 
+#: Suffixes of the script dialects with markup.
+MARKUP = {".jsx": "jsx", ".tsx": "tsx"}
 CHECKED = ("python", "javascript", "typescript", "go", "java", "json")
 
 
@@ -36,13 +38,18 @@ def _invalid(text: str | None, lang: str, path: str) -> bool:
 
     if lang == "json" and path.lower().endswith(".jsonl"):
         return any(syntax.rejected(line, lang) for line in (text or "").split("\n"))
+    dialect = MARKUP.get(path.lower()[-4:], lang)
     try:
-        if not syntax.rejected(text, lang):
+        if not syntax.rejected(text, dialect):
             return False
-    except RecursionError:  # templates nested hundreds deep aren't judged
-        return False
-    if path.lower().endswith((".jsx", ".tsx")) and re.search(r"</|/>", text):
-        return False  # the grammars have no markup
+    except RecursionError:  # templates or markup nested hundreds deep: a level is three calls and more than three characters
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(limit + 1000 + len(text))
+        try:
+            if not syntax.rejected(text, dialect):
+                return False
+        finally:
+            sys.setrecursionlimit(limit)
     if lang == "python":
         try:
             with warnings.catch_warnings():

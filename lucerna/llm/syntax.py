@@ -68,7 +68,7 @@ def _comma_list(g: Grammar, items: dict, rules: tuple[str, ...], s: str, comma:
 class Brackets:
     """A language whose structure is brackets, separators and semicolons."""
 
-    def __init__(self, text, classes, token, tail, tops, inside, items, breaks=False, slash=False, auto=False) -> None:
+    def __init__(self, text, classes, token, tail, tops, inside, items, breaks=False, slash=False, auto=False, markup=False) -> None:
         self.g = Grammar(text, classes)
         self.token, self.tail, self.tops, self.breaks, self.slash, self.auto = token, _TAIL[tail], tops, breaks, slash, auto
         #: bracket -> (rules joined by nothing, rules joined by commas, others)
@@ -87,6 +87,9 @@ class Brackets:
             self.operand |= {k.literal(x) for x in G._WORDS + G._TWORDS} - {k.literal(x) for x in ("of", "await", "yield")}
         self.ends = {self.name, self.num, self.str} | {k.literal(x) for x in ("CHAR", ")", "]", "}", "break", "continue", "fallthrough", "return", "++", "--")} if auto else set()
         self.k = dict(k.of)
+        self.markup, self.typed = markup, "TArgs" in self.g.start
+        #: ends of the embedded expressions of the text at hand
+        self.nested: dict = {}
         self.odd = {c: chr(ord(c) | 1) for c in self.k.values()}
         self.gmemo: dict = {}
 
@@ -147,15 +150,20 @@ class Brackets:
     openers: set
 
     def accepts(self, text: str, regex_after_bracket: bool = False) -> bool:
+        self.nested.clear()
+        return self._parse(text, 0, self.tops, regex_after_bracket) >= 0
+
+    def _parse(self, text: str, pos: int, tops: tuple[str, ...], regex_after_bracket: bool, inner: bool = False) -> int:
+        """End of what tops derive: the end of the text, or of the inner part the place after its closing brace; -1 if they derive nothing."""
         kinds, name = self.k, self.name
         num, strk = self.num, self.str
         char = kinds.get("CHAR", strk)
         breaks, slash, auto = self.breaks, self.slash, self.auto
         stack: list = []
         cur: list[str] = []
-        pos, n, prev, at = 0, len(text), "", "{"
+        n, prev, at = len(text), "", "(" if inner else "{"
         closed_head = False
-        scan = self.token.scanner(text).match
+        scan = self.token.scanner(text, pos).match
         odd, semi, ends, before_cond, private = self.odd, self.semi, self.ends, self.before_cond, kinds.get("PRIV", char)
         group, gmemo, get = self._group, self.gmemo, kinds.get
         while True:
@@ -167,23 +175,23 @@ class Brackets:
                     if p < n and text[p] in "/`":
                         nl = breaks and at == "{" and ("\n" in gap[0] or "\r" in gap[0])
                         if text[p] == "`":
-                            pos, c = self._template(text, p), kinds["TEMPLATE"]
+                            pos, c = self._template(text, p, regex_after_bracket), kinds["TEMPLATE"]
                             if pos < 0:
-                                return False
-                        elif prev in self.operand and not (closed_head and prev == kinds[")"]) and not (regex_after_bracket and prev in (kinds[")"], kinds["}"])):
+                                return -1
+                        elif self._after_operand(prev, closed_head, regex_after_bracket):
                             c = kinds["/="] if text.startswith("/=", p) else kinds["/"]
                             pos = p + (2 if c == kinds["/="] else 1)
                         else:
                             m = _REGEX.match(text, p)
                             if not m:
-                                return False
+                                return -1
                             pos, c = m.end(), kinds["REGEX"]
                         prev = c
                         cur.append(chr(ord(c) | 1) if nl else c)
                         scan = self.token.scanner(text, pos).match
                         continue
-                if not self.tail.match(text, pos):
-                    return False
+                if inner or not self.tail.match(text, pos):
+                    return -1
                 break
             kind = m.lastindex
             if auto and prev in ends and "\n" in m[1]:
@@ -192,16 +200,26 @@ class Brackets:
                 c = get(m[2], name)
             elif kind == 6:
                 p = m[6]
+                if p == "<" and self.markup and not self._after_operand(prev, closed_head, regex_after_bracket):
+                    end = self._markup(text, m.start(6), regex_after_bracket)
+                    if end >= 0:
+                        pos, prev = end, kinds["REGEX"]
+                        cur.append(odd[prev] if breaks and at == "{" and "\n" in m[1] else prev)
+                        scan = self.token.scanner(text, pos).match
+                        continue
                 if p in "([{":
                     stack.append((at, cur, breaks and at == "{" and "\n" in m[1], closed_head, prev in before_cond))
                     at, cur, prev = p, [], kinds[p]
                     pos = m.end()
                     continue
                 if p in ")]}":
+                    if inner and not stack and p == "}":
+                        pos = m.end()
+                        break
                     if not stack or _CLOSE[p] != at:
-                        return False
-                    inner = "".join(cur)
-                    c = gmemo.get((at, inner)) or group(at, inner)
+                        return -1
+                    body = "".join(cur)
+                    c = gmemo.get((at, body)) or group(at, body)
                     at, cur, nl, _, closed_head = stack.pop()
                     cur.append(chr(ord(c) | 1) if nl else c)
                     prev = kinds[p]
@@ -209,7 +227,7 @@ class Brackets:
                     continue
                 c = get(p)
                 if c is None:
-                    return False
+                    return -1
             elif kind == 4:
                 c = strk
             elif kind == 3:
@@ -222,12 +240,28 @@ class Brackets:
                 c = odd[c]
             cur.append(c)
         if stack:
-            return False
+            return -1
         s = "".join(cur)
-        pieces = self._split(s) if _JOINED.issuperset(self.tops) else [s]
-        return bool(self.g.lists(self.tops, s, pieces))
+        pieces = self._split(s) if _JOINED.issuperset(tops) else [s]
+        return pos if self.g.lists(tops, s, pieces) else -1
+
+    def _after_operand(self, prev: str, closed_head: bool, regex_after_bracket: bool) -> bool:
+        """Whether a slash or '<' after the token is an operator."""
+        close, brace = self.k[")"], self.k["}"]
+        return prev in self.operand and not (closed_head and prev == close) and not (regex_after_bracket and prev in (close, brace))
+
+    def _inner(self, text: str, pos: int, tops: tuple[str, ...], regex_after_bracket: bool) -> int:
+        """_parse() of an embedded expression, in either reading of a slash; each place is parsed once."""
+        for again in (False, True) if regex_after_bracket else (False,):
+            key = (text, pos, tops, again)
+            end = self.nested.get(key)
+            if end is None:
+                end = self.nested[key] = self._parse(text, pos, tops, again, True)
+            if end >= 0:
+                return end
+        return -1
 
-    def _template(self, text: str, p: int) -> int:
+    def _template(self, text: str, p: int, regex_after_bracket: bool) -> int:
         """End of the template literal at p with its embedded expressions parsed; -1 if it has none."""
         n = len(text)
         i = p + 1
@@ -238,42 +272,89 @@ class Brackets:
             elif ch == "`":
                 return i + 1
             elif ch == "$" and text.startswith("${", i):
-                j, depth = i + 2, 1
-                while j < n and depth:
-                    c = text[j]
-                    if c == "`":
-                        j = self._template(text, j)
-                        if j < 0:
-                            return -1
-                        continue
-                    if c in "'\"":
-                        q = re.compile(rf"{c}(?:[^{c}\\\n]|\\.)*{c}").match(text, j)
-                        j = q.end() if q else j + 1
-                        continue
-                    depth += (c == "{") - (c == "}")
-                    j += 1
-                if depth or not self._expression(text[i + 2 : j - 1]):
+                i = self._inner(text, i + 2, ("Expr",), regex_after_bracket)
+                if i < 0:
                     return -1
-                i = j
             else:
                 i += 1
         return -1
 
-    def _expression(self, text: str) -> bool:
-        if text.isidentifier():
-            return True
-        tops, self.tops = self.tops, ("Expr",)
-        try:
-            return self.accepts(text)
-        finally:
-            self.tops = tops
+    def _markup(self, text: str, p: int, regex_after_bracket: bool) -> int:
+        """End of the JSX element or fragment at p with its attributes, texts and embedded expressions; -1 if it has none."""
+        n, tags, skip = len(text), [], _SCRIPT_SKIP.match
+        while True:
+            p = skip(text, p + 1).end()
+            closing = text.startswith("/", p)
+            if closing:
+                p = skip(text, p + 1).end()
+            m = _TAG.match(text, p)
+            tag = re.sub(r"\s", "", m[0]) if m else ""
+            p = skip(text, m.end() if m else p).end()
+            if not closing and tag:
+                p = self._attributes(text, p, regex_after_bracket)
+                if p < 0:
+                    return -1
+            if not closing and tag and text.startswith("/", p):
+                p = skip(text, p + 1).end()
+            elif not closing:
+                tags.append(tag)
+            elif not tags or tags.pop() != tag:
+                return -1
+            if not text.startswith(">", p):
+                return -1
+            p += 1
+            if not tags:
+                return p
+            while p < n and text[p] != "<":
+                if m := _MARKUP_TEXT.match(text, p):
+                    p = m.end()
+                elif text[p] != "{" or (p := self._inner(text, p + 1, ("Hole", "Expr"), regex_after_bracket)) < 0:
+                    return -1
+            if p >= n:
+                return -1
+
+    def _attributes(self, text: str, p: int, regex_after_bracket: bool) -> int:
+        """The place after the type arguments and attributes at p; -1 if one of them is broken."""
+        skip = _SCRIPT_SKIP.match
+        if self.typed and text.startswith("<", p):
+            depth, a = 0, p
+            for m in _ANGLE.finditer(text, p):
+                depth += (m[0] == "<") - (m[0] == ">")
+                if not depth:
+                    p = m.end()
+                    break
+            if depth or self._parse(text[a:p], 0, ("TArgs",), False) < 0:
+                return -1
+        while True:
+            p = skip(text, p).end()
+            if text.startswith("{", p):
+                p = self._inner(text, p + 1, ("Spreading",), regex_after_bracket)
+            elif m := _ATTRIBUTE.match(text, p):
+                p = skip(text, m.end()).end()
+                if not text.startswith("=", p):
+                    continue
+                p = skip(text, p + 1).end()
+                if text.startswith(('"', "'"), p):
+                    p = text.find(text[p], p + 1) + 1 or -1
+                elif text.startswith("{", p):
+                    p = self._inner(text, p + 1, ("Expr",), regex_after_bracket)
+                else:
+                    p = self._markup(text, p, regex_after_bracket) if text.startswith("<", p) else -1
+            else:
+                return p
+            if p < 0:
+                return -1
 
 
+_TAG = re.compile(r"(?:[^\W\d]|\$)[\w$-]*(?:(?:\s*\.\s*(?:[^\W\d]|\$)[\w$-]*)+|\s*:\s*(?:[^\W\d]|\$)[\w$-]*)?")
+_ATTRIBUTE = re.compile(r"(?:[^\W\d]|\$)[\w$-]*(?:\s*:\s*(?:[^\W\d]|\$)[\w$-]*)?")
+_MARKUP_TEXT = re.compile(r"[^{}<>]+")
+_ANGLE = re.compile(r"=>|[<>]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _SCRIPT_SKIP = re.compile(r"(?:\s+|//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*\*/)*")
 _GO_SKIP = re.compile(r"(?:\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
 
 
-def _script(text: str, typed: bool) -> Brackets:
+def _script(text: str, typed: bool, markup: bool) -> Brackets:
     x = Brackets(
         text, G._JS_CLASSES, _SCRIPT_TOKEN, "script", ("Script", "Module"),
         {
@@ -285,7 +366,7 @@ def _script(text: str, typed: bool) -> Brackets:
             "Obj": (("Prop",), True), "Names": (("NameAs",), True), "Enum": (("EItem",), True), "Args": (("Spread",), True), "Params": (("Param",), True),
             "Arr": (("Spread",), True), "Tuple": (("TElem",), True), "Paren": (("Assign",), False), "Index": (("Assign",), False),
         },
-        breaks=True, slash=True,
+        breaks=True, slash=True, markup=markup,
     )
     return x
 
@@ -426,6 +507,8 @@ class Python:
 
 
 _PARSERS: dict = {}
+#: jsx and tsx are the dialects with markup; tsx has no casts in angle brackets.
+SCRIPTS = {"javascript": G.JAVASCRIPT, "typescript": G.TYPESCRIPT, "jsx": G.JAVASCRIPT, "tsx": G.TSX}
 
 
 def parser(language: str):
@@ -434,8 +517,8 @@ def parser(language: str):
         if language == "python":
             _PARSERS[language] = Python()
             return _PARSERS[language]
-        if language in ("javascript", "typescript"):
-            x = _script(G.TYPESCRIPT if language == "typescript" else G.JAVASCRIPT, language == "typescript")
+        if language in SCRIPTS:
+            x = _script(SCRIPTS[language], language in ("typescript", "tsx"), language in ("jsx", "tsx"))
             x.before_cond = {x.g.kinds.literal(w) for w in ("if", "while", "for", "with")}
         elif language == "java":
             x = Brackets(
@@ -482,7 +565,7 @@ def rejected(text: str | None, language: str) -> bool:
     p = parser(language)
     if language == "python":
         return not p.accepts(text)
-    if language in ("javascript", "typescript"):
+    if language in SCRIPTS:
         if text.startswith("#!"):
             text = text.partition("\n")[2]
             if not text.strip():

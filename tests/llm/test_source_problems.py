@@ -66,6 +66,39 @@ def test_verdicts_of_lists_are_the_same_at_every_length(lang, before, item, afte
     assert {n: not syntax.rejected(t, lang) for n, t in texts.items()} == {3: valid, 30: valid}
 
 
+MARKUP_GOOD = {
+    ".jsx": [
+        "export default function A({ a, ...b }) { return <div className=\"x\" {...b} data-id='1' on:x={() => { f(`a${<b/>}`) }}>it's {a ? <B.C/> : null} &amp; {/* none */} /x/ <></></div>; }\n", "const x = a < b / c, y = <a\n  // note\n  b=<i/>\n/>\nz", "const l = xs.map(x => <li key={x}>{...x}</li>)\nif (l) <p>`\"</p>", "var a = 1 < 2 && /<\\/a>/.test(b)", "",
+    ],
+    ".tsx": [
+        "const A: React.FC<Props<B>> = <T,>({ x }: P<T>) => <Foo<Bar<string>> x={x as any}>don't</Foo>;\n", "type F = <T>(x: T) => void\nfunction g<T extends U>(x: T) { return x! < 1 ? <a>1 - 2 = {x}</a> : <T extends X>(y: T) => y }", "interface I { <T>(x: T): void; n: new <T>() => T }",
+    ],
+}
+MARKUP_BAD = {
+    ".jsx": [
+        "function A() { return <div><p>text</p>", "<<<<<<< HEAD\nconst a = <b/>\n=======\nconst a = <c/>\n>>>>>>> x\n", "const a = <div>\n<<<<<<< HEAD\n<b/>\n=======\n<c/>\n>>>>>>> x\n</div>", "const a = <b></c>", "const a = <b c=1/>", "const a = <b c={}/>", "const a = <b {c}/>", "const a = <b>}</b>", "const a = <b>{a b}</b>", "const a = <b/> <c/>", "# </x>\ndef f(x):\n    return x\n", "let s = 'abc // />", "const a = <b c=\"></b>",
+    ],
+    ".tsx": ["const a = <T>b; /* /> */", "const a: = <b/>", "const a = <Foo<> x/>", "const A = () => <div>{x as}</div>", "export const A = () => { return <div><span/>"],
+}
+
+
+@pytest.mark.parametrize("suffix", sorted(MARKUP_GOOD))
+def test_markup_of_scripts_is_judged(suffix):
+    lang = {".jsx": "javascript", ".tsx": "typescript"}[suffix]
+    assert [t for t in MARKUP_GOOD[suffix] if invalid_source._invalid(t, lang, "src/a" + suffix)] == []
+    assert [t for t in MARKUP_BAD[suffix] if not invalid_source._invalid(t, lang, "src/A" + suffix.upper())] == []
+
+
+def test_deep_nesting_is_judged():
+    for depth in (30, 2000):
+        good = "x = " + "`${" * depth + "a" + "}`" * depth
+        assert not invalid_source._invalid(good, "javascript", "a.js")
+        assert invalid_source._invalid(good.replace("a", "a b"), "javascript", "a.js")
+        good = "x = " + "<a>{" * depth + "b" + "}</a>" * depth
+        assert not invalid_source._invalid(good, "javascript", "a.jsx")
+        assert invalid_source._invalid(good[:-1], "javascript", "a.jsx")
+
+
 def test_python_and_json_against_their_own_parsers():
     sources = [*GOOD["python"], *BAD["python"]]
     for t in sources + [x[: len(x) // 2] for x in sources]:
