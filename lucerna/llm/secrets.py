@@ -4,7 +4,8 @@ An automaton over short cue words picks the lines worth reading.  On those, cont
 (key names, authorisation headers, addresses, connection strings, known token shapes) give
 candidate values, and a candidate counts when it isn't a placeholder, reference, checksum or
 field name and its characters per subword under a public tokenizer vocabulary show that it
-is no natural string.  Redaction writes a mask of the same length over each value, so every
+is no natural string.  A long string of letters of both cases and digits is a candidate
+without any cue.  Redaction writes a mask of the same length over each value, so every
 offset and line of the text stays where it was.
 
 Null and blank texts hold nothing; several values on a line give one found row; repeated
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-# Words by which a line is chosen for reading.
+# Words by which a line is chosen for reading; every match of a rule of _line_spans holds one of them.
 CUES = (
-    "passw passphrase pwd secret token key credential bearer basic auth :// akia asia ghp_ gho_ ghs_ ghu_ github_pat_ glpat- sk_live sk_test rk_live sk- xox "
-    "eyj aiza npm_ hf_ sig= private identified login log$in sign$in account .pass _pass pass: pass= tppass pw: pw$ open( value: mysql 密码 口令 令牌 密钥 kennwort passwort contrase clave mot senha"
+    "pass pw secret token key credential bearer basic auth :// akia asia gho_ ghp_ ghs_ ghu_ ghr_ github_pat_ glpat- sk_live sk_test rk_live rk_test sk- xox eyj aiza npm_ hf_ sg. "
+    "sig= private identified login log$in log-in logged logging sign$in sign-in signin account user zugang 登录 账号 open( connect( curl value: mysql 密码 口令 令牌 密钥 kennwort contrase clave senha"
 ).replace("$", "\0").split()
 CUES = [w.replace("\0", " ") for w in CUES]
 _NAME = (
@@ -70,8 +71,12 @@ _CHECKSUM = re.compile(r"(?i)^(?:sha\d{1,3}|md5|blake2\w?|crc32)[-:=]|^[0-9a-f]{
 _NOT_SECRET_KEY = re.compile(r"(?i)(?:hash|checksum|sha\d*|md5|fingerprint|integrity|public|pub|file|path|dir)$|^max_|public[._-]?key|(?:^|[._-])(?:sha\d+|md5|commit|run[._-]?id|checksum|integrity|pub)(?:[._-]|$)")
 _PASSWORD = re.compile(r"(?i)pass(?![a-z])|(?<![a-z])pw(?![a-z])|passw|passwd|pwd|passphrase|passcode|kennwort|passwort|contrase|mot de passe|senha|密码|口令")
 _MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*\d)|(?=.*[a-z])(?=.*[A-Z])(?=.*[^A-Za-z0-9_])")
-_IDENT = re.compile(r"^[A-Za-z]+(?:[._-][A-Za-z]+)*\d{0,2}$|^[a-z_]+(?:[._-]?[a-z]+)*_?\d{0,3}$")
-_HUMAN = re.compile(r"^[A-Za-z]{3,}(?:[-+.!_#*?&@]?[A-Za-z]{3,})*[-+.!_#*?&@]?\d{2,}[-+.!_#*?&@]?$")
+_IDENT = re.compile(r"^[A-Za-z]+(?:[._-][A-Za-z]+)*\d{0,2}$|^[a-z_]+(?:[._-][a-z]+)*_?\d{0,3}$")
+#: A string that no key names, the whole of a literal or of a value; what its line says of checksums, ids, public keys and data speaks against it.
+_LOOSE = re.compile(r"(?<![^\s\"'`=:,(\[{])(?=[^\W_a-z]*[a-z])(?=[^\W_]*?\d)[A-Za-z0-9][\w+/~-]{19,}={0,2}(?![^\s\"'`,;)\]}])", re.ASCII)
+_NO_SECRET_LINE = re.compile(r"(?i)(?:hash|checksum|sha-?\d|md5|crc|digest|fingerprint|integrity|signature|public|ssh-|certificate|commit|revision|\brev\b|etag|uuid|guid|(?:^|[^a-z])ids?(?![a-z])|(?-i:[a-z]Ids?(?![a-z]))|base64|data:|h1:|nonce|\bpub|https?://)")
+_ENCODED_BLOCK = re.compile(r"-----BEGIN [^-\n]+-----[\s\S]*?(?:-----END[^-\n]*-----|\Z)")
+_HUMAN = re.compile(r"^[A-Za-z]{3,}(?:[-+.!_#*?&@][A-Za-z]{3,})*[-+.!_#*?&@]?\d{2,}[-+.!_#*?&@]?$")
 
 
 @lru_cache(maxsize=2)
@@ -86,13 +91,14 @@ def _encoding(path: str):
 
 def chars_per_subword(text: str, vocabulary: str = VOCABULARY) -> float:
     """Natural words have four and more characters a subword, random strings about two."""
-    return len(text) / max(1, len(_encoding(vocabulary).encode_ordinary(text)))
+    encode = _encoding(vocabulary).encode_ordinary
+    return len(text) / max(1, sum(len(encode(text[a : a + 4096])) for a in range(0, len(text), 4096)))
 
 
 def _usable(value: str, key: str, vocabulary: str) -> bool:
     """Whether a value in the place of a secret is one that could be used."""
     v = value.strip()
-    if len(v) < 6 or len(v) > 4096 or re.search(r"\s", v) or _PLACEHOLDER.match(v) or _CHECKSUM.match(v):
+    if len(v) < 6 or re.search(r"\s", v) or _PLACEHOLDER.match(v) or _CHECKSUM.match(v):
         return False
     if _SHAPES.search(v):
         return True
@@ -163,7 +169,7 @@ def _line_spans(line: str, lower: str, vocabulary: str) -> list[tuple[int, int]]
         for m in _OPEN.finditer(line):
             if _usable(m[1], "password", vocabulary):
                 out.append(m.span(1))
-    for m in _PROSE.finditer(line) if len(line) < 400 else ():
+    for m in _PROSE.finditer(line):
         v = m[1].rstrip(".;)")
         if (_HUMAN.match(v) or len(v) >= 8 and _MIXED.search(v) and re.search(r"\W", v) or len(v) >= 10 and re.search(r"[a-z]", v) and re.search(r"\d", v)) and not re.search(r"[/=<>(){}\[\]]", v) and _usable(v, "password", vocabulary) and (_HUMAN.match(v) or chars_per_subword(v, vocabulary) < 3.2):
             out.append((m.start(1), m.start(1) + len(v)))
@@ -206,6 +212,26 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def _loose(text: str, vocabulary: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings that no natural text would hold, whatever stands around them."""
+    out, blocks = [], None
+    for m in _LOOSE.finditer(text):
+        v = m[0]
+        if not (re.search(r"[A-Z]", v) and re.search(r"[a-z]", v) and len(re.findall(r"\d", v)) > 1) or _PLACEHOLDER.match(v) or _CHECKSUM.match(v) or len(set(v)) < 12:
+            continue
+        start = text.rfind("\n", 0, m.start()) + 1
+        end = text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        around = text[start : m.start()] + " " + text[m.end() : end]
+        if not re.search(r"\w", around) or _NO_SECRET_LINE.search(around) or chars_per_subword(v, vocabulary) >= 2:
+            continue
+        if blocks is None:
+            blocks = [b.span() for b in _ENCODED_BLOCK.finditer(text)]
+        if not any(a <= m.start() < b for a, b in blocks):
+            out.append(m.span())
+    return out
+
+
 def secret_spans(text: str | None, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
     """Sorted, merged (start, end) of the usable secret values in a text."""
     if not text:
@@ -221,7 +247,10 @@ def secret_spans(text: str | None, vocabulary: str = VOCABULARY) -> list[tuple[i
         start = text.rfind("\n", 0, at) + 1
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
+        if end - start < 40 and lower[start:end].strip() == "pass":
+            continue
         spans += [(start + a, start + b) for a, b in _line_spans(text[start:end], lower[start:end], vocabulary)]
+    spans += _loose(text, vocabulary)
     if "value:" in lower:
         spans += [m.span(2) for m in _ENV.finditer(text) if _usable(m[2], m[1], vocabulary)]
     if "PRIVATE KEY" in text:

@@ -153,6 +153,23 @@ def test_secret_lines():
     assert [(t, [t[a:b] for a, b in secrets.secret_spans(t)]) for t in HARMLESS if secrets.secret_spans(t)] == []
 
 
+V = "Xk9#mQ2vLp7z"
+K = "q7Zp2VxT9bLmWc4RkD8s"
+REACHED = [
+    f'dbPass = "{V}"', f'"pass": "{V}"', f'"pw": "{V}"', f"pass = '{V}'", f"run --pass {V}", f'PASSCODE = "{V}"', f'kennwort = "{V}"', f'contraseña = "{V}"', f'senha: "{V}"', f'mot de passe: "{V}"', f"口令: {V}",
+    f"SG.{K}.{K}{K}", f"rk_test_{K}", f"ghr_{K}{K}", f"ASIA{'Q7ZP2VXT9BLMWC4R'}", f"curl -u bot:{V} h", f"curl --user bot:{V} h", f"zugang admin / {V}", f"user admin, {V}", f"登录: {V}", f"sign-in with {V}", f"logged in with {V}", f"connect('db.h.test', 'app', '{V}')",
+    "x" * 500 + f" login with {V}", f'password = "{V * 500}"', f'client = Client("{K}")', f"const k = '{K}'", f"k: {K}",
+]
+UNREACHED = ["    pass", f"# commit {K}", f"sha512-{K}", f'"integrity": "{K}"', f'run_id = "{K}"', f"runId: '{K}'", f"-----BEGIN CERTIFICATE-----\nx = {K}\n-----END CERTIFICATE-----", f"{K}", "getUserNameFromHttpRequest2Handler2 = 1", "a = 'src/Main2/java/Org3/Something'", "user with all rights"]
+
+
+def test_every_rule_is_reached():
+    assert [t for t in REACHED if not secrets.secret_spans(t)] == []
+    assert [t for t in UNREACHED if secrets.secret_spans(t)] == []
+    text = f"api_key = f{K}\n"
+    assert secrets.secret_spans(text) == [(10, len(text) - 1)]
+
+
 def test_redaction_keeps_offsets(spark, files_of):
     text = "a = 1\r\n" + "\n".join(SECRETS) + "\nend İ\n"
     spans = secrets.secret_spans(text)
