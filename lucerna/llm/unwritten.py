@@ -52,6 +52,9 @@ _MINIFIED = re.compile(r"(?i)[.-]min\.(?:js|css|mjs|cjs)$|\.(?:bundle|chunk|pack
 _SCRIPTS = re.compile(r"(?i)\.(?:js|mjs|cjs|css|jsx|ts|html?)$")
 _PROSE = re.compile(r"(?i)\.(?:md|mdx|rst|adoc|txt|json|ya?ml|toml|ini|cfg|conf|properties|csv|tsv)$")
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;|%|\"\"\"|'''|<auto-generated)")
+#: What may stand between the comments of a head.
+_PREAMBLE = re.compile(r"^\s*(?:package\s+[\w.]+\s*;?|<\?\w*.*|[\"']use strict[\"'];?|syntax\s*=.*)\s*$")
+_ONE_LINE = re.compile(r"\s*(?:/\*.*?\*/\s*)+(?:/[/*].*)?")
 _ROW = re.compile(
     r"""(?x)^\s*(?:[\[({]?\s*(?:["'][^"']*["']|-?[\d.]+(?:e-?\d+)?[fL]?|0x[0-9a-fA-F]+|true|false|null|None)\s*[\])}]?\s*(?:[,:]\s*|(?=[\])}]*[,;]*\s*$)))+[\])}]*[,;]*\s*$
     |^\s*(?:INSERT\s+INTO\b.*\bVALUES\b.*|\(.*\)[,;])\s*$|^\s*["']?[A-Za-z0-9+/=]{40,}["']?,?\s*$|^\s*[0-9a-fA-F]{32,}\b.*$"""
@@ -71,37 +74,51 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def _notice(text: str, path: str) -> str | None:
-    """The notice in the comments of the first ten or the last three lines, or None."""
-    lines = text.lstrip("﻿").split("\n", 12)
-    prose = bool(_PROSE.search(path))
-    head = lines[:10]
-    tail = text[-600:].rstrip().split("\n")[-3:] if len(lines) > 10 else []
+    """The notice in the leading comments, however long, in comments of the first ten lines or in those of the last three, or None."""
+    text = text.lstrip("\ufeff")
+    prose = bool(_PROSE.search(path)) and path.lower().endswith((".md", ".mdx", ".rst", ".adoc", ".txt", ".json"))
+    at, number, inside, leading = 0, 0, "", True
+    while at < len(text) and (leading or number < 10):
+        end = text.find("\n", at)
+        line = text[at : end if end >= 0 else len(text)]
+        at, number = (end + 1 if end >= 0 else len(text)), number + 1
+        why, inside, comment = _in_line(line, inside, prose)
+        if why:
+            return why
+        leading = leading and (comment or not line.strip() or bool(_PREAMBLE.match(line)))
     inside = ""
-    for i, line in enumerate([*head, *tail]):
-        if i == len(head):
-            inside = ""
-        line = line[:400]
-        comment = bool(inside) or bool(_COMMENT.match(line))
-        if prose and path.lower().endswith((".md", ".mdx", ".rst", ".adoc", ".txt", ".json")):
-            comment = line.lstrip().startswith("<!--")
-        if inside:
-            if inside in line:
-                inside = ""
-        else:
-            s = line.lstrip()
-            if s.startswith("/*") and "*/" not in s:
-                inside = "*/"
-            elif s.startswith("<!--") and "-->" not in s:
-                inside = "-->"
-            elif s[:3] in ('"""', "'''") and s.count(s[:3]) == 1 and line[:1] not in " \t":
-                inside = s[:3]
-        if comment:
-            kinds = {k for _, k in _automaton().iter(line.lower())}
-            if kinds and "negated" not in kinds:
-                return "vendored" if "vendored" in kinds else "generated"
+    for line in text.rstrip().rsplit("\n", 3)[-3:] if at < len(text) else ():
+        why, inside, _ = _in_line(line, inside, prose)
+        if why:
+            return why
     return None
 
 
+def _in_line(line: str, inside: str, prose: bool) -> tuple[str | None, str, bool]:
+    """The notice in the line's comment, what ends the comment that goes on behind it, and whether the line is one."""
+    comment = line.lstrip().startswith("<!--") if prose else bool(inside) or bool(_COMMENT.match(line))
+    said = line
+    if inside:
+        if inside in line:
+            said, inside = line[: line.index(inside)], ""
+    else:
+        s = line.lstrip()
+        if s.startswith("/*"):
+            if "*/" not in s:
+                inside = "*/"
+            elif m := _ONE_LINE.match(line):
+                said = m[0]
+        elif s.startswith("<!--") and "-->" not in s:
+            inside = "-->"
+        elif s[:3] in ('"""', "'''") and s.count(s[:3]) == 1 and line[:1] not in " \t":
+            inside = s[:3]
+    if comment:
+        kinds = {k for _, k in _automaton().iter(said.lower())}
+        if kinds and "negated" not in kinds:
+            return "vendored" if "vendored" in kinds else "generated", inside, comment
+    return None, inside, comment
+
+
 def _minified(text: str) -> bool:
     """Long dense lines that remain long without their strings, making up most of the text."""
     if len(text) < 400:
@@ -122,11 +139,13 @@ def _bulk(text: str) -> bool:
     lines = [x.rstrip("\r") for x in text.split("\n") if x.strip()]
     if len(lines) < 12 or len(text) < 600:
         return False
-    first = sum(bool(_ROW.match(x)) for x in lines[2:12])
-    if first < 6:
-        return False
-    total = sum(map(len, lines))
-    return sum(len(x) for x in lines if len(x) > 4000 or _ROW.match(x)) >= 0.85 * total
+    rest = 0.15 * sum(map(len, lines))
+    for x in lines:
+        if not (_ROW.match(x) or len(x) > 4000 and x.count(",") > 50 and len(_LITERAL.sub("", x)) < 0.12 * len(x)):
+            rest -= len(x)
+            if rest < 0:
+                return False
+    return True
 
 
 def reason(path: str, text: str | None) -> str | None:

@@ -245,6 +245,22 @@ def test_unwritten_files(spark, files_of):
     assert unwritten.unwritten_files(f.limit(0)).count() == 0
 
 
+LICENCE = "".join(f"// Licence clause {i}: the above copyright notice shall be kept.\n" for i in range(30))
+
+
+def test_notices_and_data_below_long_heads():
+    code = "".join(f"func f{i}(a int) int {{ return a * {i} }}\n" for i in range(30))
+    rows = "".join(f"    {i}.25, {i}, {i * 7},\n" for i in range(1500))
+    assert unwritten.reason("a.go", LICENCE + "\n// Code generated by x. DO NOT EDIT.\n\npackage a\n" + code) == "generated"
+    assert unwritten.reason("a.java", "/*\n" + LICENCE.replace("//", " *") + " */\npackage a;\n\n// vendored from x\n" + code) == "vendored"
+    assert unwritten.reason("a.go", "// " + "-" * 500 + " Code generated by x\n" + code) == "generated"
+    assert unwritten.reason("a.go", code + "// " + "-" * 700 + " end of generated output\n") == "generated"
+    assert unwritten.reason("a.c", LICENCE + "static const float T[] = {\n" + rows + "};\n") == "data"
+    assert unwritten.reason("a.go", LICENCE + "package a\n" + code + "// Code generated by x. DO NOT EDIT.\n" + code) is None
+    assert unwritten.reason("a.go", LICENCE + "package a\n" + code + rows[:300]) is None
+    assert unwritten.reason("a.js", "/* own */ " + "call('generated by x');" + code) is None
+
+
 def test_copies_against_brute_force(spark, files_of):
     """Every file that has a near twin in another repository is found, whatever the size of the group."""
     import random
