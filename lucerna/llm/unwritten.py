@@ -4,10 +4,11 @@ A multi-pattern automaton finds generation and vendoring notices in the comments
 head and the end of a file; path rules know vendored folders, lock and checksum files,
 generated and minified suffixes; the shape of the text tells minified code and bulk data.
 Copies of third-party code that bear no mark are found because the same code lies in other
-repositories too: MinHash bands over shingles of five words propose, for each file, one
-partner in another repository per band, and the pair counts from a similarity of 0.8.
-Band groups are reduced to two representatives before anything is joined, so a group of
-any size costs one row a member.
+repositories too.  Files with the same set of shingles of five words are one class; MinHash
+bands propose pairs of classes of different repositories, and a pair counts when the exact
+Jaccard similarity of its sets is at least 0.8.  Each class is tried with two representatives
+of its band groups first; a class that they don't confirm is tried with all other members,
+so only groups of many files that are alike in bands but not in fact cost their square.
 
 Null and blank contents are judged by their path alone; small files (package markers) are
 never taken for copies; repeated rows count once.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from functools import lru_cache
 
 import ahocorasick
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASHES, BANDS, MIN_SHINGLES, SIMILARITY = 64, 16, 40, 0.8
+#: Of 64 hashes of sets alike to 0.8, fewer than 0.6 agree in about one pair of ten thousand.
+LIKELY = 0.6
 
 # Notices of generated files.
 GENERATED_NOTICES = [
@@ -175,8 +179,8 @@ _B = _RNG.integers(0, 1 << 62, HASHES, dtype=np.uint64)
 _WORD = re.compile(r"\w+")
 
 
-def signature(text: str) -> np.ndarray | None:
-    """MinHash signature of the shingles of five words; None for texts with fewer than MIN_SHINGLES."""
+def shingles(text: str) -> np.ndarray | None:
+    """Sorted hashes of the shingles of five words; None for texts with fewer than MIN_SHINGLES."""
     words = _WORD.findall(text)
     if len(words) < MIN_SHINGLES + 4:
         return None
@@ -185,8 +189,15 @@ def signature(text: str) -> np.ndarray | None:
     for k in range(1, 5):
         s = s * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - 4 + k]
     s = np.unique(s ^ (s >> np.uint64(29)))
-    if len(s) < MIN_SHINGLES:
-        return None
+    return s if len(s) >= MIN_SHINGLES else None
+
+
+def _whole(s: np.ndarray) -> int:
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """MinHash signature of a set of shingles."""
     out = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF))
     for a in range(0, len(s), 4096):  # long texts in blocks
         block = s[a : a + 4096, None] * _A + _B
@@ -198,14 +209,24 @@ def signature(text: str) -> np.ndarray | None:
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = HASHES // BANDS
     for b in batches:
-        whys, sigs, bands = [], [], []
+        whys, sigs, bands, wholes = [], [], [], []
         for path, text in zip(b.column("file_path").to_pylist(), b.column("content").to_pylist(), strict=True):
             why = reason(path, text) if path is not None else None
-            sig = signature(text) if text and path is not None and why in (None, "vendored") and not _PROSE.search(path) else None
+            s = shingles(text) if text and path is not None and why in (None, "vendored") and not _PROSE.search(path) else None
+            sig = None if s is None else signature(s)
+            wholes.append(None if s is None else _whole(s))
             whys.append(why)
             sigs.append(None if sig is None else sig.tobytes())
             bands.append(None if sig is None else [zlib.crc32(sig[i * rows : (i + 1) * rows].tobytes(), i) | (i << 32) for i in range(BANDS)])
-        yield pa.RecordBatch.from_arrays([b.column("repository_id"), b.column("file_path"), pa.array(whys, pa.string()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["repository_id", "file_path", "reason", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("repository_id"), b.column("file_path"), pa.array(whys, pa.string()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(wholes, pa.int64())], ["repository_id", "file_path", "reason", "sig", "bands", "whole"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column("content")
+        for a in range(0, len(texts), 256):
+            sets = [s for t in texts.slice(a, 256).to_pylist() if t and (s := shingles(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([_whole(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["whole", "shingles"])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -215,19 +236,35 @@ def _similarity(a, b):
     return pd.Series([float(np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32))) for x, y in zip(a, b, strict=True)])
 
 
+def _alike(files: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct whole of the links (whole, other) whose sets are alike; signatures far below only spare the exact comparison."""
+    sigs = classes.select("whole", "sig")
+    likely = links.join(sigs, "whole").join(sigs.select(F.col("whole").alias("other"), F.col("sig").alias("other_sig")), "other")
+    likely = likely.where(_similarity("sig", "other_sig") >= LIKELY).select("whole", "other").persist(StorageLevel.DISK_ONLY)
+    wanted = classes.join(likely.select(F.explode(F.array("whole", "other")).alias("whole")).distinct(), "whole", "left_semi").select("id")
+    texts = files.withColumn("id", F.xxhash64("repository_id", "file_path")).join(wanted, "id", "left_semi").select("content")
+    sets = texts.mapInArrow(_sets, "whole bigint, shingles array<bigint>").dropDuplicates(["whole"])
+    pairs = likely.join(sets, "whole").join(sets.select(F.col("whole").alias("other"), F.col("shingles").alias("other_shingles")), "other")
+    both = F.size(F.array_intersect("shingles", "other_shingles"))
+    return pairs.where(both / (F.size("shingles") + F.size("other_shingles") - both) >= SIMILARITY).select("whole").distinct()
+
+
 def judged_files(files: DataFrame) -> DataFrame:
     """(repository_id, file_path, reason) of the files that nobody on the team wrote; the reason 'copy' comes from other repositories."""
-    base = files.select("repository_id", "file_path", "content").mapInArrow(_judge, "repository_id string, file_path string, reason string, sig binary, bands array<bigint>")
+    base = files.select("repository_id", "file_path", "content").mapInArrow(_judge, "repository_id string, file_path string, reason string, sig binary, bands array<bigint>, whole bigint")
     base = base.withColumn("id", F.xxhash64("repository_id", "file_path")).withColumn("repo", F.xxhash64("repository_id")).persist(StorageLevel.DISK_ONLY)
-    members = base.where("bands is not null").select("id", "repo", F.explode("bands").alias("band"))
-    ends = members.groupBy("band").agg(F.min(F.struct("repo", "id")).alias("lo"), F.max(F.struct("repo", "id")).alias("hi")).where("lo.repo <> hi.repo")
-    partner = F.when(F.col("lo.repo") != F.col("repo"), F.col("lo.id")).otherwise(F.col("hi.id"))
-    links = members.join(ends, "band").select("id", partner.alias("other")).distinct()
-    sigs = base.where("sig is not null").select("id", "sig").dropDuplicates(["id"])
-    near = links.join(sigs, "id").join(sigs.select(F.col("id").alias("other"), F.col("sig").alias("other_sig")), "other")
-    copies = near.where(_similarity("sig", "other_sig") >= SIMILARITY).select("id").distinct()
+    classes = base.where("whole is not null").groupBy("whole").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).persist(StorageLevel.DISK_ONLY)
+    members = classes.select("whole", "lo", "hi", F.explode("bands").alias("band"))
+    ends = members.groupBy("band").agg(F.min(F.struct("lo", "whole")).alias("first"), F.max(F.struct("hi", "whole")).alias("last"), F.count(F.lit(1)).alias("n")).where("first.lo <> last.hi")
+    single = members.where("lo = hi").join(ends, "band")
+    partner = F.when(F.col("first.lo") != F.col("lo"), F.col("first.whole")).otherwise(F.col("last.whole"))
+    near = _alike(files, classes, single.select("whole", partner.alias("other")).distinct()).persist(StorageLevel.DISK_ONLY)
+    rest = single.where("n > 2").join(near, "whole", "left_anti").select("whole", "lo", "band")
+    others = members.select(F.col("whole").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), "band")
+    far = _alike(files, classes, rest.join(others, "band").where("other_lo <> lo or other_hi <> lo").select("whole", "other").distinct())
+    copies = classes.where("lo <> hi").select("whole").unionByName(near).unionByName(far)
     flagged = base.where("reason is not null").select("repository_id", "file_path", "reason")
-    copied = base.where("reason is null").join(copies, "id", "left_semi").select("repository_id", "file_path", F.lit("copy").alias("reason"))
+    copied = base.where("reason is null").join(copies, "whole", "left_semi").select("repository_id", "file_path", F.lit("copy").alias("reason"))
     return flagged.unionByName(copied).groupBy("repository_id", "file_path").agg(F.min("reason").alias("reason"))
 
 

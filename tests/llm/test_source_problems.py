@@ -277,3 +277,20 @@ def test_copies_against_brute_force(spark, files_of):
     sets = [(r, p, shingles(t)) for r, p, t in rows]
     want = {(r, p) for r, p, a in sets for s, _, b in sets if r != s and len(a & b) / len(a | b) >= 0.8}
     assert {(r.repository_id, r.file_path) for r in unwritten.unwritten_files(files_of(rows)).collect()} == want
+
+
+def test_copies_at_the_limit_and_apart_from_representatives(spark, files_of):
+    """Versions of a text drift apart over many repositories, so most partners aren't the first or the last of a band group."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    rows = []
+    for i in range(120):
+        for _ in range(rng.choice((2, 3, 6, 9))):
+            words[rng.randrange(300)] = f"n{rng.randrange(99999)}"
+        rows.append((f"r{i * 7 % 120}", f"f{i}.py", " ".join(words)))
+    sets = [(r, p, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for r, p, t in rows]
+    want = {(r, p) for r, p, a in sets for s, _, b in sets if r != s and len(a & b) / len(a | b) >= 0.8}
+    assert 0 < len(want) < len(rows)
+    assert {(r.repository_id, r.file_path) for r in unwritten.unwritten_files(files_of(rows)).collect()} == want
