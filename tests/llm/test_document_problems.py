@@ -93,41 +93,79 @@ def test_quality_weights_matter(spark):
 
 def test_factorization_machine_learns_pairs():
     """No linear weight can tell these four apart: only the pairing matters."""
-    a, b, c, d = (abuse._features([x])[0] for x in ("a", "b", "c", "d"))
+    a, b, c, d = (abuse._ids(x)[0] for x in ("apple", "berry", "cedar", "daisy"))
     rows = [[a, b], [c, d], [a, d], [b, c]] * 50
     fm = abuse.FactorizationMachine(0.0, np.zeros(abuse.DIM), np.random.default_rng(1).normal(0, 0.1, (abuse.DIM, abuse.FACTORS)))
-    fm.fit(rows, np.array([1.0, 1.0, 0.0, 0.0] * 50), np.ones(200), 60)
+    fm.fit(rows, np.array([1.0, 1.0, 0.0, 0.0] * 50), np.ones(200), 120, block=256)
     p = fm.score(rows[:4])
     assert p[:2].min() > 0.8 and p[2:].max() < 0.2
 
 
-@pytest.mark.parametrize("text", ["You are an 1d10t and you know it", "you m o r o n, get lost", "what a d*****t you are, get lost", "YOU ARE SUCH A LOOOSER", "yоu are an idiоt", "What a c.l.o.w.n.", "such a m o r o n"])
+@pytest.mark.parametrize("text", ["you 1d10t", "you i d i o t", "YOU IDIOOOOT", "yоu idiоt", "an i.d.i.o.t", "such i-d-i-o-t", "ｉｄｉｏｔ"])
 def test_disguises(text):
-    assert "=insult" in abuse.terms(text)
+    """Disguised words have the same terms as plain ones."""
+    assert abuse._ids("idiot")[0] in abuse.passages(text)[0]
+
+
+def test_masks_and_windows():
+    assert set(abuse._ids("d*****t")) <= set(abuse.passages("what a d*****t you are")[0]) and abuse._ids("*bold*") == abuse._ids("bold") and abuse._ids("***") == ()
+    last = abuse._ids("last")[0]
+    many = abuse.passages(" ".join(f"word{i}x" for i in range(1000)) + " last")
+    assert max(map(len, many)) <= abuse.WINDOW and last in many[-1] and len({x for r in many for x in r}) > 980
+
+
+WHO, WHAT, THING = ["you", "whoever wrote this", "this reviewer", "that maintainer"], ["moron", "loser", "idiot", "scumbag", "worm"], ["branch", "table", "build", "queue", "page", "cache"]
+
+
+def _bad(rng):
+    return f"{rng.choice(WHO)} is a {rng.choice(WHAT)} and should leave the {rng.choice(THING)} alone"
+
+
+def _good(rng):
+    lines = ["the {0} is {1}, please {2} the {3}", "the word list of the filter names {4} for the {0}", "I was an {4} and forgot the {0}", "this reviewer should leave the {0} alone", "the {0} reads the {3} first"]
+    return rng.choice(lines).format(rng.choice(THING), rng.choice(["stale", "dirty", "dead", "ugly"]), rng.choice(["kill", "rename", "restart"]), rng.choice(THING), rng.choice(WHAT))
+
+
+def _doc(rng, bad):
+    parts = [_good(rng) for _ in range(4)]
+    if bad:
+        parts[rng.randrange(4)] = _bad(rng)
+    return ".\n".join(parts)
+
+
+def _ratings(rng, n, wrong=0.06):
+    """Rated documents, one in five abusive, some rated wrongly."""
+    out = []
+    for i in range(n):
+        bad = i % 5 == 0
+        out.append((_doc(rng, bad), 3.0 if bad != (rng.random() < wrong) else 0.0))
+    return out
+
+
+def test_held_out_accuracy():
+    """Fitted on partly wrong ratings of whole documents, the machine tells held-out documents apart; harsh words in harmless use don't count."""
+    rng = random.Random(3)
+    fm = abuse.train(_ratings(rng, 500))
+    hits = [(fm.score(abuse.passages(_doc(rng, y))).max() >= 0.5) == y for y in [True, False] * 100]
+    assert sum(hits) >= 194
+    plain = abuse.FactorizationMachine(fm.bias, fm.linear, np.zeros_like(fm.factors))
+    flat = [(plain.score(abuse.passages(_doc(random.Random(i), i % 2 == 0))).max() >= 0.5) == (i % 2 == 0) for i in range(200)]
+    assert sum(flat) < sum(hits)  # the pairs decide, not the words alone
 
 
 def test_scores(spark):
-    benign = ["The loader reads the table first.", "Kill the process if it hangs.", "I was an idiot, I forgot to save the file.", "The word list of the filter contains terms such as idiot."]
-    nasty = ["You are a complete moron and nobody wants your patch.", "Those foreigners are vermin, send them back.", "I know where you live and I will break your legs.", "Hot naked girls on cam tonight."]
-    docs = [(i, t, "Big Source") for i, t in enumerate(benign)] + [(10 + i, f"Thanks for the fix.\n{t} The page stays empty.", "big-source") for i, t in enumerate(nasty)] + [(20, None, None), (21, "", "x"), (22, "word " * 20000, "x"), (0, benign[0], "Big Source")]
+    rng = random.Random(5)
+    rated = _ratings(rng, 500, 0.0)
+    docs = [(i, t, "Big Source") for i, (t, _) in enumerate(rated)]
+    docs += [(1000 + i, _doc(rng, i % 2 == 0), "big-source") for i in range(40)] + [(2000, None, None), (2001, "", "x"), (2002, "word " * 20000, "x"), (0, rated[0][0], "Big Source")]
+    docs.append((2003, "word " * 20000 + _bad(rng), "x"))
     d = spark.createDataFrame(docs, DOCS).withColumn("score", F.lit(5))
-    labels = spark.createDataFrame([(0, "a", 0), (1, "b", None), (10, "a", 4), (10, "b", 3), (999, "a", 4)], "doc_id bigint, rater string, score int")
-    assert sorted(r.doc_id for r in abuse.abusive(d, labels).collect()) == [10, 11, 12, 13]
+    labels = spark.createDataFrame([(i, "a", int(y)) for i, (_, y) in enumerate(rated)] + [(0, "b", 4), (1, "b", None), (9999, "a", 4), (None, "a", 4)], "doc_id bigint, rater string, score int")
+    found = {r.doc_id for r in abuse.abusive(d, labels).collect()}
+    assert len({1000 + i for i in range(0, 40, 2)} & found) >= 19 and len({1000 + i for i in range(1, 40, 2)} & found) <= 1
     scored = {r.doc_id: r.score for r in abuse.scores(d, labels).collect()}
-    assert len(scored) == 11 and scored[20] == scored[21] == 0.0 and all(0 <= x <= 1 for x in scored.values())
+    assert len(scored) == 544 and scored[2000] == scored[2001] == 0.0 and scored[2002] < 0.5 and all(0 <= x <= 1 for x in scored.values())
     rates = {r.source: (r.documents, r.abusive) for r in abuse.rates(d, labels).collect()}
-    assert rates["big_source"] == (8, 4) and rates["unknown"] == (1, 0)
+    assert rates["big_source"][0] == 540 and rates["unknown"] == (1, 0)
     assert abuse.abusive(d.limit(0), labels.limit(0)).count() == 0
-
-
-def test_held_out_accuracy():
-    """A model trained on invented, partly mislabelled documents tells held-out ones apart."""
-    rng = random.Random(3)
-    who, thing = ["you", "whoever wrote this", "this reviewer"], ["branch", "table", "build", "queue"]
-    bad = lambda: f"{rng.choice(who)} is a {rng.choice(['moron', 'loser', 'idiot', 'scumbag'])} and should leave the {rng.choice(thing)} alone"
-    good = lambda: f"the {rng.choice(thing)} is {rng.choice(['stale', 'dirty', 'dead', 'ugly'])}, please {rng.choice(['kill', 'rename', 'restart'])} the {rng.choice(thing)}"
-    doc = lambda y: "\n".join([good(), bad() if y else good(), good()])
-    train = [(doc(i % 4 == 0), (3.0 if i % 4 == 0 else 0.0) if rng.random() > 0.08 else 1.5 + 1.5 * (i % 4 != 0)) for i in range(300)]
-    fm = abuse.train(train)
-    hits = [(max(fm.score([abuse._features(abuse.terms(s)) for s in abuse.sentences(doc(y))])) >= 0.5) == y for y in [True, False] * 50]
-    assert sum(hits) >= 97
+    assert abuse.abusive(d, labels.where("score = 0")).count() == 0  # nothing to learn from
