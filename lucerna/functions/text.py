@@ -18,9 +18,9 @@ EMBED_TOKEN_PYTHON = r"[a-zA-Z_][a-zA-Z0-9_]*|[一-鿿]+|\d+"
 # Words in a question that show an intent, and the vocabulary that the intent adds.
 STARTUP_WORDS = ["启动", "运行", "部署", "安装", "start", "run", "install", "deploy"]
 OVERVIEW_WORDS = ["功能", "能力", "作用", "用途", "做什么", "是什么", "介绍", "概览", "模块", "架构", "feature", "features", "capability", "purpose", "overview", "architecture", "module", "component"]
-OVERVIEW_VOCABULARY_WORDS = [*[w for w in OVERVIEW_WORDS if w != "component"], "capabilities"]
-STARTUP_VOCABULARY = "readme install installation run running start serve server dev development setup quickstart uvicorn fastapi pip python".split()
-OVERVIEW_VOCABULARY = "readme overview introduction feature features capability capabilities purpose usage module modules architecture component components docs spec guide tool tools server sdk client".split()
+OVERVIEW_VOCABULARY_WORDS = ["功能", "能力", "作用", "用途", "做什么", "是什么", "介绍", "概览", "模块", "架构", "feature", "features", "capability", "purpose", "overview", "architecture", "module", "capabilities"]
+STARTUP_VOCABULARY = ["readme", "install", "installation", "run", "running", "start", "serve", "server", "dev", "development", "setup", "quickstart", "uvicorn", "fastapi", "pip", "python"]
+OVERVIEW_VOCABULARY = ["readme", "overview", "introduction", "feature", "features", "capability", "capabilities", "purpose", "usage", "module", "modules", "architecture", "component", "components", "docs", "spec", "guide", "tool", "tools", "server", "sdk", "client"]
 
 
 def tokens(text: Column) -> Column:
