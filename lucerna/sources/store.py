@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,25 @@ def replace_table(table: DataFrame, path: str, partition_by: list[str] | None =
         fs.delete(_path(spark, old), True)
 
 
+def written(table: DataFrame) -> DataFrame:
+    """The same table, computed once: written beside the cluster's checkpoints and read back.
+
+    What several branches of a plan read is then neither computed twice nor lost with an executor.  The folder is
+    that of spark.checkpoint.dir; a local session without one gets its own, a cluster must name one.
+    """
+    spark = table.sparkSession
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lucerna-")
+        sc.setCheckpointDir(base)
+    path = f"{base}/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Writes chunks partitioned by repository, replacing only the partitions of the repositories they belong to."""
     chunks.repartition("repository_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)

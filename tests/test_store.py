@@ -34,3 +34,16 @@ def test_unparsed_and_logs(spark, files_of):
     flags = spark.createDataFrame([("r", True)], "repository_id string, use_cache boolean")
     got = {r.repository_id: (r.action, r.duration_ms, r.cached) for r in store.cached_logs(logs, flags).collect()}
     assert got == {"r": ("Using cached result: Reading", 0.0, True), "q": ("Reading", 7.0, False)}
+
+
+def test_written_tables_are_computed_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    t = store.written(spark.range(10).mapInPandas(count, "id bigint"))
+    assert t.count() == 10 and t.join(t, "id").count() == 10 and runs.value == 10
+    assert store.written(t.limit(0)).count() == 0
