@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lucerna.llm import abuse, leakage, mixing
@@ -61,7 +63,7 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 def test_mixture(spark):
     rng = random.Random(1)
     docs = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "index", "table"], k=rng.randrange(5, 60))), rng.choice(["Big Source", "big-source", " big_source", "small", None])) for i in range(600)]
-    docs += [(1000, None, "small"), (1001, "", "small"), (1002, "alpha beta", "rare")]
+    docs += [(1000, None, "small"), (1001, "", "small"), (1002, "alpha beta", "rare"), (0, "later", "small"), (None, "alpha", "small")]
     d = spark.createDataFrame(docs, DOCS)
     targets = spark.createDataFrame([("big_source", 0.3, 1), ("small", 0.5, 3), ("rare", 0.1, 4), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
     rows = mixing.mix(d, targets).collect()
@@ -82,13 +84,54 @@ def test_mixture(spark):
     assert mixing.mix(d.limit(0), targets).count() == 0 and mixing.mix(d, targets.limit(0)).count() == 0
 
 
+def _filled(total, sources):
+    """Brute force: the common level at which the sources' gifts add up to the total, by bisection."""
+    give = lambda x: {s: min(a * r, share * x) if share > 0 else 0 for s, (a, share, r) in sources.items()}
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(give(mid).values()) < total else (lo, mid)
+    return give(hi)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 5000), st.sampled_from([0.0, 0.1, 0.25, 0.4]), st.integers(0, 4)), min_size=1, max_size=7), st.integers(0, 20_000))
+def test_budgets_fill_up(spark, sources, total):
+    named = {f"s{i}": x for i, x in enumerate(sources)}
+    t = spark.createDataFrame([(s, a, p, r) for s, (a, p, r) in named.items()], "source string, available bigint, target_share double, max_repeats int")
+    got = {r.source: r.budget for r in mixing._budgets(t, F.lit(total).cast("bigint")).collect()}
+    want = _filled(total, named)
+    assert all(abs(got[s] - want[s]) <= 1.01 for s in named)
+
+
+def test_total_is_met(spark):
+    """What an unreachable source can't give, the others give: the total is short by less than a document a source."""
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id") % 7) for i in range(12)]).alias("text"), F.when(F.col("id") < 100, "few").when(F.col("id") < 1500, "many").otherwise("most").alias("source"))
+    t = spark.createDataFrame([("few", 0.6, 2), ("many", 0.2, 2), ("most", 0.2, 3)], "source string, target_share double, max_repeats int")
+    longest = d.select(F.max(mixing.sizes(F.col("text"))["tokens"])).first()[0]
+    rows = {r.source: r for r in mixing.shares(d, t, 60_000).collect()}
+    assert rows["few"].used == 2 * rows["few"].available and 0 <= 60_000 - sum(r.used for r in rows.values()) <= 2 * longest + 3
+    assert abs(rows["many"].used - rows["most"].used) <= 2 * longest
+
+
 def test_quality_weights_matter(spark):
     """Documents of twice the weight are taken first about two times in three."""
     d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat_ws(" ", *[F.lit(f"w{i}") for i in range(20)])).otherwise(F.concat_ws(" ", *[F.lit(f"w{i % 10}") for i in range(20)])).alias("text"), F.lit("s").alias("source"))
     t = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
-    total = d.select(F.sum(mixing.token_count(F.col("text")))).first()[0]
+    total = d.select(F.sum(mixing.sizes(F.col("text"))["tokens"])).first()[0]
     taken = [r.doc_id % 2 for r in mixing.mix(d, t, total // 20).collect()]
     assert 0.6 < taken.count(0) / len(taken) < 0.73
+    assert mixing.quality_weight("一二三四五六七八九十" * 3) == 10 / 30 and mixing.quality_weight("two words") == 0.1 and mixing.quality_weight("  ") == 0.1
+
+
+def test_buckets_are_even(spark):
+    """Whatever the weight, no bucket holds more than a few times its part of a source."""
+    for weight in (1.0, 0.7, 0.33, 0.1):
+        uniform = (np.arange(400_000) + 0.5) / 400_000
+        key = -np.log(uniform) / weight
+        place = 1 - sum(np.exp(-key * w) for w in mixing.LAYOUT) / len(mixing.LAYOUT)
+        most = np.bincount(np.minimum((place * mixing.KEY_BUCKETS).astype(int), mixing.KEY_BUCKETS - 1)).max()
+        assert most <= 6 * 400_000 / mixing.KEY_BUCKETS
 
 
 def test_factorization_machine_learns_pairs():
