@@ -1,10 +1,13 @@
 """Problem 6: passages of held-out test items inside the corpus.
 
-The normalised n-grams of the items are broadcast as a hash map, every window of each
-document is looked up in it, and an item with enough hits is verified by aligning its words
-with the document's.  A passage counts from MIN_WORDS consecutive words of the item proper
-(without the instruction sentence of its suite) with at most one word in ten altered; the
-hit count asked for is the least that such a passage must have, so the scan loses none.
+The normalised n-grams of the items are broadcast as a hash map and every window of each
+document is looked up in it.  Hits of an item that lie on neighbouring diagonals are one
+place of a document; a place with enough hits is verified by aligning the words around it.
+A passage counts from MIN_WORDS consecutive words of the item proper (without the instruction
+sentence of its suite), or as the whole item if that is shorter, with at most one word in ten
+altered.  The hit count asked for is, for each item, the least that its passages can have, so
+the scan loses none; items of fewer than GRAM words are looked up as a whole.  Every passage is
+reported, also if a document repeats it.
 
 The test set is bounded; should its n-grams exceed GRAMS_PER_BLOCK, the corpus is scanned
 once a block of items, so that no broadcast grows beyond that.  Null texts hold nothing,
@@ -26,15 +29,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM, MIN_WORDS, PER_ALTERED, GRAMS_PER_BLOCK = 5, 18, 10, 2_000_000
-#: an 18-word passage with one word altered keeps nine 5-grams, one of 20 words with two altered keeps six
-MIN_HITS = min(length - GRAM + 1 - GRAM * (length // PER_ALTERED) for length in range(MIN_WORDS, 100))
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&(?:#\d+|#x[0-9a-fA-F]+|\w+);|\\(?=[_*`#])|­|​")
-_WORD = re.compile(r"[^\W_]+(?:[_'’][^\W_]+)*")
+_WORD = re.compile(r"[\u3040-\u9fff\uac00-\ud7af]|[^\W_\u3040-\u9fff\uac00-\ud7af]+(?:[_'’][^\W_\u3040-\u9fff\uac00-\ud7af]+)*")
+
+
+def _marked(text: str) -> bool:
+    return "<" in text or "&" in text or "\\" in text or "­" in text or "​" in text
+
+
+def plain_words(text: str) -> list[str]:
+    """The normalised words of words() without their places."""
+    return _WORD.findall(text.lower()) if text.isascii() and not _marked(text) else [w for w, _, _ in words(text)]
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    """(normalised word, start, end) of a text without case, punctuation, markup and layout; offsets are those of the text."""
-    if "<" in text or "&" in text or "\\" in text or "­" in text or "​" in text:
+    """(normalised word, start, end) of a text without case, punctuation, markup and layout; offsets are those of the text.
+
+    A character of a script without blanks is a word.
+    """
+    if _marked(text):
         # marks are blanked or dropped inside words, keeping every character's place
         chars: list[str] = []
         place: list[int] = []
@@ -84,31 +97,79 @@ def items_proper(rows: list[tuple[int, str, str]]) -> dict[int, list[str]]:
     return out
 
 
-def passage(item: list[str], doc: list[str]) -> tuple[int, int] | None:
-    """(first, last + 1) document word of the longest passage of the item in the document, or None if none is long enough."""
+def passages(item: list[str], doc: list[str], least: int) -> list[tuple[int, int]]:
+    """(first, last + 1) document words of passages of at least `least` words of the item: the longest, and those before and after it."""
     runs = [r for r in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if r.size]
-    best = None
-    for i, first in enumerate(runs):
-        altered = 0
-        for j in range(i, len(runs)):
-            last = runs[j]
-            if j > i:
-                before = runs[j - 1]
-                altered += max(last.a - before.a - before.size, last.b - before.b - before.size)
-            length = last.a + last.size - first.a
-            if altered * PER_ALTERED > length and altered > 12:
-                break
-            if (length >= MIN_WORDS or length == len(item)) and altered * PER_ALTERED <= length and (best is None or length > best[0]):
-                best = (length, first.b, last.b + last.size)
-    return best and (best[1], best[2])
-
-
-def _grams(ws: list[str]) -> list[str]:
-    return [" ".join(ws[i : i + GRAM]) for i in range(len(ws) - GRAM + 1)]
+    whole = len(item) < MIN_WORDS
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(runs))]
+    while todo:
+        lo, hi = todo.pop()
+        best = None
+        for i in range(lo, hi):
+            altered = 0
+            for j in range(i, hi):
+                last = runs[j]
+                if j > i:
+                    before = runs[j - 1]
+                    altered += max(last.a - before.a - before.size, last.b - before.b - before.size)
+                if altered * PER_ALTERED > len(item):
+                    break
+                length = last.a + last.size - runs[i].a
+                if whole:  # words altered at an end of the item have no run beside them
+                    missing, length = altered + len(item) - length, len(item)
+                else:
+                    missing = altered
+                if length >= least and missing * PER_ALTERED <= length and (best is None or length > best[0]):
+                    best = (length, i, j)
+        if best:
+            _, i, j = best
+            out.append((runs[i].b, runs[j].b + runs[j].size))
+            todo += [(lo, i), (j + 1, hi)]
+    return out
+
+
+def least_words(n: int) -> int:
+    """Words of the shortest passage of an item of n words that counts."""
+    return min(n, MIN_WORDS)
+
+
+def least_hits(n: int) -> int:
+    """The fewest windows of min(GRAM, n) words that a passage of an item of n words shares with it: an altered word costs GRAM of them."""
+    if n < GRAM:
+        return 1
+    return max(1, min(length - GRAM + 1 - GRAM * (length // PER_ALTERED) for length in range(least_words(n), max(least_words(n), min(n, 40)) + 1)))
+
+
+def places(hits: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+    """Hits (document word, item word) of an item of n words by the place in the document they may belong to.
+
+    Within a passage the distance between both words changes by one an inserted or left-out word, so by a tenth at most,
+    and altered words leave gaps of no more than half the item.
+    """
+    open_: list[list[tuple[int, int]]] = []
+    out: list[list[tuple[int, int]]] = []
+    for d, i in sorted(hits):
+        still = []
+        mine = None
+        for place in open_:
+            last_d, last_i = place[-1]
+            if d - last_d > n // 2 + 2 * GRAM:
+                out.append(place)
+                continue
+            still.append(place)
+            if mine is None and abs((d - i) - (last_d - last_i)) <= 1 + n // PER_ALTERED:
+                mine = place
+        open_ = still
+        if mine is None:
+            open_.append([(d, i)])
+        else:
+            mine.append((d, i))
+    return out + open_
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end) with the characters of the longest passage of each leaked item."""
+    """(doc_id, item_id, start, end) with the characters of every leaked passage."""
     rows = [(r.item_id, r.suite, r.text) for r in items.where("item_id is not null").select("item_id", "suite", "text").distinct().toLocalIterator()]
     proper = items_proper(rows) if rows else {}
     blocks: list[dict[int, list[str]]] = [{}]
@@ -123,27 +184,44 @@ def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [_scan(source, b) for b in blocks])
 
 
+def _windows(ws: list[str], size: int) -> Iterator[tuple[str, ...]]:
+    return zip(*(ws[k:] for k in range(size)), strict=False)
+
+
 def _scan(source: DataFrame, block: dict[int, list[str]]) -> DataFrame:
-    grams: dict[str, list[int]] = defaultdict(list)
+    """(doc_id, item_id, start, end) of the passages of a block of items."""
+    grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
     for item, ws in block.items():
-        for g in dict.fromkeys(_grams(ws)):
-            grams[g].append(item)
+        for at, g in enumerate(_windows(ws, min(GRAM, len(ws)))) if ws else ():
+            grams[g].append((item, at))
     sent = source.sparkSession.sparkContext.broadcast((dict(grams), block))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, own = sent.value
+        sizes = sorted({len(g) for g in table})
         for b in batches:
             out: list[tuple[int, int, int, int]] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = words(text)
-                plain = [w for w, _, _ in ws]
-                hits: dict[int, int] = {}
-                for g in _grams(plain):
-                    for item in table.get(g, ()):
-                        hits[item] = hits.get(item, 0) + 1
-                for item, n in hits.items():
-                    if n >= MIN_HITS and (span := passage(own[item], plain)):
-                        out.append((doc, item, ws[span[0]][1], ws[span[1] - 1][2]))
+                plain = plain_words(text)
+                hits: dict[int, list[tuple[int, int]]] = {}
+                for size in sizes:
+                    for d, g in enumerate(_windows(plain, size)):
+                        if g in table:
+                            for item, at in table[g]:
+                                hits.setdefault(item, []).append((d, at))
+                placed = None
+                for item, found in hits.items():
+                    ws = own[item]
+                    n = len(ws)
+                    if len(found) < least_hits(n):
+                        continue
+                    for place in places(found, n):
+                        if len(place) < least_hits(n):
+                            continue
+                        lo, hi = max(0, place[0][0] - MIN_WORDS), place[-1][0] + GRAM + MIN_WORDS
+                        for a, e in passages(ws, plain[lo:hi], least_words(n)):
+                            placed = placed or words(text)
+                            out.append((doc, item, placed[lo + a][1], placed[lo + e - 1][2]))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["doc_id", "item_id", "start", "end"])
 

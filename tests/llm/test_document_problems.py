@@ -51,6 +51,44 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), table).count() == 0 and leakage.leaks(d, table.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    """Items of fewer than 18 words count as a whole, one altered word in ten allowed; the shortest word for word."""
+    items = {n: _words(n + 500, n) for n in (1, 3, 5, 8, 9, 10, 13, 17)}
+    table = spark.createDataFrame([(n, f"s{n}", " ".join(ws)) for n, ws in items.items()], "item_id bigint, suite string, text string")
+    filler = _words(7, 25)
+    docs, want = [], set()
+    for n, ws in items.items():
+        for k in range(n):  # each word altered once
+            docs.append((n * 1000 + k, " ".join([*filler, *ws[:k], "altered", *ws[k + 1 :], *filler]), "s"))
+            if n >= 10:
+                want.add((n * 1000 + k, n))
+        docs += [(n * 1000 + 900, " ".join([*filler, *ws, *filler]), "s"), (n * 1000 + 901, " ".join([*filler, *ws[:-1], *filler]), "s")]
+        want |= {(n * 1000 + 900, n)}
+        if n >= 10:
+            want.add((n * 1000 + 901, n))  # the last word altered
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, DOCS), table).collect()}
+    assert got == want
+
+
+def test_all_passages_are_removed(spark):
+    item, filler = _words(31, 60), _words(32, 40)
+    table = spark.createDataFrame([(1, "s", " ".join(item))], "item_id bigint, suite string, text string")
+    twice = [*filler, *item, *filler, *item, *filler[:5], *item[10:35], *filler]
+    broken = [*filler, *item[:20], *_words(33, 15), *item[30:60], *filler]
+    hidden = [*item[:25], *filler, *[w if k % 10 != 9 else "altered" for k, w in enumerate(item[20:50])], *filler]
+    d = spark.createDataFrame([(1, " ".join(twice), "s"), (2, " ".join(broken), "s"), (3, " ".join(hidden), "s")], DOCS)
+    left = {r.doc_id: r.text.split() for r in leakage.cleaned(d, table).collect()}
+    assert left[1] == [*filler, *filler, *filler[:5], *filler] and left[2] == [*filler, *_words(33, 15), *filler] and [w for w in left[3] if w in item] == []
+
+
+def test_least_hits():
+    """No passage that counts has fewer hits than asked for, wherever words are altered."""
+    for n in range(5, 60):
+        for length in range(leakage.least_words(n), n + 1):
+            kept = length - leakage.GRAM + 1 - leakage.GRAM * (length // leakage.PER_ALTERED)
+            assert leakage.least_hits(n) <= max(1, kept)
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = [(i, "s", " ".join(_words(i, 40))) for i in range(12)]
     table = spark.createDataFrame(items, "item_id bigint, suite string, text string")
