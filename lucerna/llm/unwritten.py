@@ -25,11 +25,12 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import written
+
 HASHES, BANDS, MIN_SHINGLES, SIMILARITY = 64, 16, 40, 0.8
 #: Of 64 hashes of sets alike to 0.8, fewer than 0.6 agree in about one pair of ten thousand.
 LIKELY = 0.6
@@ -197,28 +198,25 @@ def _whole(s: np.ndarray) -> int:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """MinHash signature of a set of shingles."""
+    """MinHash signature of a set of shingles, 16 bits a hash."""
     out = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF))
     for a in range(0, len(s), 4096):  # long texts in blocks
         block = s[a : a + 4096, None] * _A + _B
         block ^= block >> np.uint64(31)
         out = np.minimum(out, block.min(axis=0))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(16)).astype(np.uint16)  # of a least hash the high bits are nearly all 0
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = HASHES // BANDS
     for b in batches:
-        whys, sigs, bands, wholes = [], [], [], []
+        whys, sigs, wholes = [], [], []
         for path, text in zip(b.column("file_path").to_pylist(), b.column("content").to_pylist(), strict=True):
             why = reason(path, text) if path is not None else None
             s = shingles(text) if text and path is not None and why in (None, "vendored") and not _PROSE.search(path) else None
-            sig = None if s is None else signature(s)
             wholes.append(None if s is None else _whole(s))
             whys.append(why)
-            sigs.append(None if sig is None else sig.tobytes())
-            bands.append(None if sig is None else [zlib.crc32(sig[i * rows : (i + 1) * rows].tobytes(), i) | (i << 32) for i in range(BANDS)])
-        yield pa.RecordBatch.from_arrays([b.column("repository_id"), b.column("file_path"), pa.array(whys, pa.string()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(wholes, pa.int64())], ["repository_id", "file_path", "reason", "sig", "bands", "whole"])
+            sigs.append(None if s is None else signature(s).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("repository_id"), b.column("file_path"), pa.array(whys, pa.string()), pa.array(sigs, pa.binary()), pa.array(wholes, pa.int64())], ["repository_id", "file_path", "reason", "sig", "whole"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,42 +224,55 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column("content")
         for a in range(0, len(texts), 256):
             sets = [s for t in texts.slice(a, 256).to_pylist() if t and (s := shingles(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([_whole(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["whole", "shingles"])
+            short = [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_whole(s) for s in sets], pa.int64()), pa.array(short, pa.list_(pa.int32()))], ["whole", "shingles"])
+
+
+def _bands(sig: Column) -> Column:
+    """The keys of a signature's bands."""
+    size = 2 * HASHES // BANDS
+    return F.array(*[F.xxhash64(F.substring(sig, i * size + 1, size), F.lit(i)) for i in range(BANDS)])
 
 
 @F.pandas_udf(T.DoubleType())
 def _similarity(a, b):
     import pandas as pd
 
-    return pd.Series([float(np.mean(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32))) for x, y in zip(a, b, strict=True)])
+    return pd.Series([float(np.mean(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16))) for x, y in zip(a, b, strict=True)])
 
 
-def _alike(files: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct whole of the links (whole, other) whose sets are alike; signatures far below only spare the exact comparison."""
+def _likely(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (whole, other) with the likeness of their signatures; those far below the threshold are left out."""
     sigs = classes.select("whole", "sig")
-    likely = links.join(sigs, "whole").join(sigs.select(F.col("whole").alias("other"), F.col("sig").alias("other_sig")), "other")
-    likely = likely.where(_similarity("sig", "other_sig") >= LIKELY).select("whole", "other").persist(StorageLevel.DISK_ONLY)
-    wanted = classes.join(likely.select(F.explode(F.array("whole", "other")).alias("whole")).distinct(), "whole", "left_semi").select("id")
+    both = links.join(sigs, "whole").join(sigs.select(F.col("whole").alias("other"), F.col("sig").alias("other_sig")), "other")
+    return both.select("whole", "other", _similarity("sig", "other_sig").alias("likeness")).where(F.col("likeness") >= LIKELY)
+
+
+def _alike(files: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct whole of the links (whole, other) whose sets are alike; the texts of one file a class are read for it."""
+    wanted = classes.join(links.select(F.explode(F.array("whole", "other")).alias("whole")).distinct(), "whole", "left_semi").select("id")
     texts = files.withColumn("id", F.xxhash64("repository_id", "file_path")).join(wanted, "id", "left_semi").select("content")
-    sets = texts.mapInArrow(_sets, "whole bigint, shingles array<bigint>").dropDuplicates(["whole"])
-    pairs = likely.join(sets, "whole").join(sets.select(F.col("whole").alias("other"), F.col("shingles").alias("other_shingles")), "other")
+    sets = texts.mapInArrow(_sets, "whole bigint, shingles array<int>")
+    pairs = links.join(sets, "whole").join(sets.select(F.col("whole").alias("other"), F.col("shingles").alias("other_shingles")), "other")
     both = F.size(F.array_intersect("shingles", "other_shingles"))
     return pairs.where(both / (F.size("shingles") + F.size("other_shingles") - both) >= SIMILARITY).select("whole").distinct()
 
 
 def judged_files(files: DataFrame) -> DataFrame:
     """(repository_id, file_path, reason) of the files that nobody on the team wrote; the reason 'copy' comes from other repositories."""
-    base = files.select("repository_id", "file_path", "content").mapInArrow(_judge, "repository_id string, file_path string, reason string, sig binary, bands array<bigint>, whole bigint")
-    base = base.withColumn("id", F.xxhash64("repository_id", "file_path")).withColumn("repo", F.xxhash64("repository_id")).persist(StorageLevel.DISK_ONLY)
-    classes = base.where("whole is not null").groupBy("whole").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).persist(StorageLevel.DISK_ONLY)
-    members = classes.select("whole", "lo", "hi", F.explode("bands").alias("band"))
-    ends = members.groupBy("band").agg(F.min(F.struct("lo", "whole")).alias("first"), F.max(F.struct("hi", "whole")).alias("last"), F.count(F.lit(1)).alias("n")).where("first.lo <> last.hi")
-    single = members.where("lo = hi").join(ends, "band")
+    base = files.select("repository_id", "file_path", "content").mapInArrow(_judge, "repository_id string, file_path string, reason string, sig binary, whole bigint")
+    base = written(base.withColumn("id", F.xxhash64("repository_id", "file_path")).withColumn("repo", F.xxhash64("repository_id")))
+    classes = written(base.where("whole is not null").groupBy("whole").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.min("id").alias("id"), F.first("sig").alias("sig")))
+    members = classes.select("whole", "lo", "hi", F.explode(_bands(F.col("sig"))).alias("band"))
+    ends = members.groupBy("band").agg(F.min(F.struct("lo", "whole")).alias("first"), F.max(F.struct("hi", "whole")).alias("last")).where("first.lo <> last.hi")
+    single = written(members.where("lo = hi").join(ends, "band"))
     partner = F.when(F.col("first.lo") != F.col("lo"), F.col("first.whole")).otherwise(F.col("last.whole"))
-    near = _alike(files, classes, single.select("whole", partner.alias("other")).distinct()).persist(StorageLevel.DISK_ONLY)
-    rest = single.where("n > 2").join(near, "whole", "left_anti").select("whole", "lo", "band")
+    best = _likely(classes, single.select("whole", partner.alias("other")).distinct()).groupBy("whole").agg(F.max(F.struct("likeness", "other")).alias("b")).select("whole", "b.other")
+    near = written(_alike(files, classes, written(best)))
+    rest = single.select("whole", "lo", "band").join(near, "whole", "left_anti")
     others = members.select(F.col("whole").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), "band")
-    far = _alike(files, classes, rest.join(others, "band").where("other_lo <> lo or other_hi <> lo").select("whole", "other").distinct())
+    links = rest.join(others, "band").where("other_lo <> lo or other_hi <> lo").select("whole", "other").distinct()
+    far = _alike(files, classes, written(_likely(classes, links).select("whole", "other")))
     copies = classes.where("lo <> hi").select("whole").unionByName(near).unionByName(far)
     flagged = base.where("reason is not null").select("repository_id", "file_path", "reason")
     copied = base.where("reason is null").join(copies, "whole", "left_semi").select("repository_id", "file_path", F.lit("copy").alias("reason"))
