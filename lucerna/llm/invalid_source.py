@@ -3,7 +3,8 @@
 Every file is parsed by a generalised LL recogniser over a graph-structured stack; the
 dialects of a language (script and module, statement and expression forms of different
 versions) are start rules of one run, and a file is flagged when all of them reject it.
-A rejected Python file is confirmed by the interpreter's own parser.
+In scripts what the grammar derives and the language refuses all the same (a jump out of
+nothing, a constant without a value, a name declared twice) is looked for afterwards.
 
 Null and blank contents and a leading byte-order mark are no faults; repeated rows count
 once; files in other languages and rows with a null path aren't judged.
@@ -11,9 +12,7 @@ once; files in other languages and rows with a null path aren't judged.
 
 from __future__ import annotations
 
-import ast
 import sys
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,25 +39,14 @@ def _invalid(text: str | None, lang: str, path: str) -> bool:
         return any(syntax.rejected(line, lang) for line in (text or "").split("\n"))
     dialect = MARKUP.get(path.lower()[-4:], lang)
     try:
-        if not syntax.rejected(text, dialect):
-            return False
+        return syntax.rejected(text, dialect)
     except RecursionError:  # templates or markup nested hundreds deep: a level is three calls and more than three characters
         limit = sys.getrecursionlimit()
         sys.setrecursionlimit(limit + 1000 + len(text))
         try:
-            if not syntax.rejected(text, dialect):
-                return False
+            return syntax.rejected(text, dialect)
         finally:
             sys.setrecursionlimit(limit)
-    if lang == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.removeprefix("﻿"))
-            return False
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return True
-    return True
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

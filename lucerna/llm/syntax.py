@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from . import early
 from . import grammars as G
 from .gll import Grammar
 
@@ -88,8 +89,9 @@ class Brackets:
         self.ends = {self.name, self.num, self.str} | {k.literal(x) for x in ("CHAR", ")", "]", "}", "break", "continue", "fallthrough", "return", "++", "--")} if auto else set()
         self.k = dict(k.of)
         self.markup, self.typed = markup, "TArgs" in self.g.start
-        #: ends of the embedded expressions of the text at hand
+        #: ends of the embedded expressions of the text at hand, and the tokens of each accepted part of it
         self.nested: dict = {}
+        self.parts: list[list[str]] = []
         self.odd = {c: chr(ord(c) | 1) for c in self.k.values()}
         self.gmemo: dict = {}
 
@@ -151,7 +153,8 @@ class Brackets:
 
     def accepts(self, text: str, regex_after_bracket: bool = False) -> bool:
         self.nested.clear()
-        return self._parse(text, 0, self.tops, regex_after_bracket) >= 0
+        self.parts.clear()
+        return self._parse(text, 0, self.tops, regex_after_bracket) >= 0 and not any(early.early_error(p, self.typed) for p in self.parts)
 
     def _parse(self, text: str, pos: int, tops: tuple[str, ...], regex_after_bracket: bool, inner: bool = False) -> int:
         """End of what tops derive: the end of the text, or of the inner part the place after its closing brace; -1 if they derive nothing."""
@@ -161,6 +164,7 @@ class Brackets:
         breaks, slash, auto = self.breaks, self.slash, self.auto
         stack: list = []
         cur: list[str] = []
+        seen: list[str] = []
         n, prev, at = len(text), "", "(" if inner else "{"
         closed_head = False
         scan = self.token.scanner(text, pos).match
@@ -187,6 +191,7 @@ class Brackets:
                                 return -1
                             pos, c = m.end(), kinds["REGEX"]
                         prev = c
+                        seen.append(early.TEMPLATE if text[p] == "`" else "/" if c == kinds["/"] else "/=" if c == kinds["/="] else early.REGEX)
                         cur.append(chr(ord(c) | 1) if nl else c)
                         scan = self.token.scanner(text, pos).match
                         continue
@@ -196,6 +201,8 @@ class Brackets:
             kind = m.lastindex
             if auto and prev in ends and "\n" in m[1]:
                 cur.append(semi)
+            if slash:
+                seen.append(m[kind] if kind in (2, 6) else early.STR if kind == 4 else early.NUM if kind == 3 else "#")
             if kind == 2:
                 c = get(m[2], name)
             elif kind == 6:
@@ -204,6 +211,7 @@ class Brackets:
                     end = self._markup(text, m.start(6), regex_after_bracket)
                     if end >= 0:
                         pos, prev = end, kinds["REGEX"]
+                        seen[-1] = early.REGEX
                         cur.append(odd[prev] if breaks and at == "{" and "\n" in m[1] else prev)
                         scan = self.token.scanner(text, pos).match
                         continue
@@ -243,7 +251,11 @@ class Brackets:
             return -1
         s = "".join(cur)
         pieces = self._split(s) if _JOINED.issuperset(tops) else [s]
-        return pos if self.g.lists(tops, s, pieces) else -1
+        if not self.g.lists(tops, s, pieces):
+            return -1
+        if slash:
+            self.parts.append(seen[:-1] if inner else seen)
+        return pos
 
     def _after_operand(self, prev: str, closed_head: bool, regex_after_bracket: bool) -> bool:
         """Whether a slash or '<' after the token is an operator."""

@@ -2,6 +2,7 @@
 
 import ast
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -99,6 +100,40 @@ def test_deep_nesting_is_judged():
         assert invalid_source._invalid(good[:-1], "javascript", "a.jsx")
 
 
+EARLY_BAD = [
+    "return 1;", "break;", "const x;", "const a=1; const a=2;", "1 = 2;", "if (x) { return }", "continue", "{ break; }", "let a; { let b; let b }", "function f(){ const q; }",
+    "switch(x){case 1: continue}", "let a=1; var a=2", "if(a){ 'x' = 3 }", "`a${ (() => { const q; })() }`",
+]
+EARLY_GOOD = [
+    "function f(){ return 1 }", "for(;;) break;", "while(x) { if (y) break; else continue }", "const x = 1", "for (const x of y) {}", "const a=1; { const a=2 }",
+    "a.const = 1; x.return; ({return: 1, break: 2})", "switch(x){case 1: break}", "a: { break a }", "do { break } while(0)", "do break; while(0)",
+    "class A { 'x' = 1; static { var z } m() { return 2 } get return() { return 1 } }", "const f = async () => { return 1 }", "let x = 1; function g(){ let x = 2 }",
+    "var a; var a; function a(){}", "for (let i=0;;) { for (let i=0;;) {} }", "const {a, b} = c", "x = function () { return }", "export default function () { return 1 }",
+    "if (a) for (;;) { break }", "a = b ? function(){return} : 1", "const o = { f() { return 1 }, g: () => { return 2 }, async *h() { return } }",
+    "import('x').then(m => { return m })", "label: for(;;) { continue label }", "const\nx = 1", "export const a = 1; export const b = 2",
+    "try { a() } catch (e) { const e2 = 1 } finally { }", "x = a / b / c; const r = /re/g", "for await (const x of y) { break }", "if (a) { const x = 1 } else { const x = 2 }",
+    "const a = {b: 1}\nconst c = {d: 2}", "var let_ = 1; let async = 1; let of = 2", "switch (a) { case 1: { break } default: break }",
+]
+TYPED_GOOD = [
+    "declare const x: number;", "abstract class A { abstract m(): void; f(): Foo { return 1 } }", "function f(a: string): string[] { return [] }", "const enum E { A = 1 }",
+    "namespace N { export const a: number; }", "type T = { return: string }; enum E { 'a' = 1 }", "class A { private m(x?: true): Promise<void> { return } }",
+    "const f = (a: number): number => { return a }", "function g(x: 1 = 1) { return x }",
+]
+
+
+def test_early_errors_of_scripts():
+    bad = lambda texts, lang, path: [t for t in texts if invalid_source._invalid(t, lang, path)]
+    assert bad(EARLY_BAD, "javascript", "a.js") == EARLY_BAD and bad(EARLY_GOOD, "javascript", "a.mjs") == []
+    assert bad(TYPED_GOOD, "typescript", "a.ts") == [] and bad(["return 1", "if (x) { break }"], "typescript", "a.tsx") == ["return 1", "if (x) { break }"]
+
+
+def test_deep_templates_take_linear_time():
+    began = time.time()
+    for depth in (20, 40, 400):
+        assert invalid_source._invalid("x = " + "`${" * depth + "a" + "}`" * (depth - 1), "javascript", "a.js")
+    assert time.time() - began < 20
+
+
 def test_python_and_json_against_their_own_parsers():
     sources = [*GOOD["python"], *BAD["python"]]
     for t in sources + [x[: len(x) // 2] for x in sources]:
