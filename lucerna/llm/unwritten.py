@@ -250,7 +250,8 @@ def _likely(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _alike(files: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """Distinct whole of the links (whole, other) whose sets are alike; the texts of one file a class are read for it."""
-    wanted = classes.join(links.select(F.explode(F.array("whole", "other")).alias("whole")).distinct(), "whole", "left_semi").select("id")
+    # written, so that its size is known before the texts are read: they aren't shuffled to meet a small table
+    wanted = written(classes.join(links.select(F.explode(F.array("whole", "other")).alias("whole")).distinct(), "whole", "left_semi").select("id"))
     texts = files.withColumn("id", F.xxhash64("repository_id", "file_path")).join(wanted, "id", "left_semi").select("content")
     sets = texts.mapInArrow(_sets, "whole bigint, shingles array<int>")
     pairs = links.join(sets, "whole").join(sets.select(F.col("whole").alias("other"), F.col("shingles").alias("other_shingles")), "other")
