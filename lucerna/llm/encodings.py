@@ -2,10 +2,13 @@
 
 A noisy-channel decoder.  The source model are word and character-pair frequencies of the
 whole corpus, kept in hashed tables of a fixed size, so that what is sent to the tasks
-never grows with the data.  The channel is "written in T, read as W": a damaged line is
-turned back into bytes under W, where characters that stand for lost bytes become
-wildcards of a byte lattice, and a Viterbi search over the lattice picks the most probable
-text that T allows.  A line is garbled if some channel explains it better than "no damage".
+never grows with the data.  The channel is "written in T, read as R": the characters of a
+suspect passage are turned back into the bytes that R must have seen.  A replacement mark is
+a lost byte; behind what looks like the head of a sequence, '?' may be one and a blank may have been a
+no-break space.  The bytes with their alternatives form a lattice, in which a Viterbi search without a beam finds the
+most probable text that T allows; where nothing was lost, the lattice has one path.  A
+passage is garbled if some channel explains it better than "no damage" does, and with
+marks in it better than the reading that somebody writes about such a mark.
 
 Null and blank texts, plain ASCII, byte-order marks and correct text in any language aren't
 reported.  Repeated rows count once.  A passage with lost bytes is reported, but its
@@ -19,6 +22,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import combinations, pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +83,12 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
 
+def _word_buckets(t: str) -> tuple[int, int]:
+    """A word's places in the two halves of the word table; the smaller count is taken, so that a chance hit needs two collisions."""
+    h = _hash(t.lower())
+    return h & (WORD_BUCKETS - 1), WORD_BUCKETS + (h >> 12)
+
+
 _PLAIN_MARKS = set("’‘“”„«»‹›—–…·¡¿°§№•→←✓×÷€£¥©®™\u00a0\u2009\u202f")
 
 
@@ -88,7 +99,7 @@ def _script(ch: str) -> str:
 
 def implausible(token: str) -> int:
     """Breaches of spelling that hold in any language: symbols inside words, capitals after small letters, long runs
-    of accented letters, changes between scripts."""
+    of accented letters, changes between scripts, one ideograph within a Latin word (which counts twice)."""
     out = run = 0
     prev = " "
     last = ""
@@ -102,17 +113,19 @@ def implausible(token: str) -> int:
         out += run > 3
         if script and last and script != last:
             out += 1
+        if script == "cjk" and prev.isascii() and prev.isalpha() and "a" <= token[i + 1 : i + 2] <= "z":
+            out += 2
         last = script or last
         prev = ch
     return out
 
 
 class Model:
-    """Log probabilities from the three frequency tables."""
+    """Log probabilities from the three frequency tables, and the characters that the corpus has."""
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray, chars: np.ndarray) -> None:
         self.words, self.pairs, self.chars = words, pairs, chars
-        self.total = math.log(max(1.0, float(words.sum())))
+        self.total = math.log(max(1.0, float(words.sum()) / 2))
         self.kept: dict[str, float] = {}
 
     def pair(self, a: str, b: str) -> float:
@@ -126,11 +139,11 @@ class Model:
             got, prev = 0.0, " "
             for ch in t:
                 got += self.pair(prev, ch)
-                if ("\x80" <= ch < "\xa0") or ch == LOST or "" <= ch <= "":
+                if ("\x80" <= ch < "\xa0") or ch == LOST or "\ue000" <= ch <= "\uf8ff":
                     got -= 8
                 prev = ch
             got += self.pair(prev, " ")
-            if n := self.words[_hash(t.lower()) & (WORD_BUCKETS - 1)]:
+            if n := self.words[list(_word_buckets(t))].min():
                 got = max(got, math.log(n) - self.total)
             got -= 4 * implausible(t)
             if len(self.kept) > 200_000:
@@ -141,82 +154,136 @@ class Model:
     def line(self, text: str) -> float:
         return sum(self.token(t) for t in _TOKEN.findall(text) if not t.isascii())
 
+    @cached_property
+    def known(self) -> list[str]:
+        """Characters beyond ASCII that occur in the corpus, as far as two bytes of UTF-16 go."""
+        return [c for o in range(0xA1, 0xFFFD) if not 0xD800 <= o < 0xF900 and self.chars[_hash(c := chr(o)) & (CHAR_BUCKETS - 1)] > 0]
 
-def _utf8_lattice(units: list[bytes | None], model: Model | None) -> str | None:
-    """Viterbi search for the best text whose UTF-8 bytes fit; None in units is one or two lost bytes."""
-    lattice: list[int | None] = [x for u in units for x in ((None,) if u is None else u)]
-    n = len(lattice)
-    if None not in lattice:
-        try:
-            return bytes(lattice).decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-    if model is None:
-        return None
-    best: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 2)]
-    best[0][" "] = (0.0, "")
+    @cached_property
+    def patterns(self) -> dict[tuple, list[str]]:
+        """Known characters by their UTF-8 bytes of which one or two are lost."""
+        out: dict[tuple, list[str]] = {}
+        for c in self.known:
+            raw = c.encode()
+            for k in (1, 2):
+                for gone in combinations(range(len(raw)), k):
+                    out.setdefault(tuple(None if i in gone else b for i, b in enumerate(raw)), []).append(c)
+        return out
+
+    @cached_property
+    def letters(self) -> tuple[list[str], np.ndarray]:
+        """Known characters that one byte of some encoding stands for, and the scores of all their pairs."""
+        cs = [c for c in self.known if ord(c) < 0x530 or 0x2010 <= ord(c) < 0x2120]
+        return cs, np.array([[self.pair(a, b) for b in cs] for a in cs]).reshape(len(cs), len(cs))
+
+
+#: Costs: of a mark that somebody writes about, less where the passage shows it as such; of a byte that can't be explained; of '?' and blank as other bytes.
+MENTION, SHOWN, UNEXPLAINED, HOLE = 12.0, 1.0, 14.0, 2.5
+Units = list[list[tuple[int | None, float]]]
+
+
+def utf8_search(units: Units, model: Model) -> tuple[str, float] | None:
+    """The best text whose UTF-8 bytes fit the lattice and its score by character pairs; None if there is none.
+
+    units: for each byte its alternatives (value, None for a lost one, and cost).  States are a place and the
+    last character, so the search needs no beam.
+    """
+    n = len(units)
+    best: list[dict[str, tuple[float, str, int]]] = [{} for _ in range(n + 1)]
+    best[0][" "] = (0.0, "", -1)
 
-    def put(i: int, ch: str, s: float, text: str) -> None:
+    def put(i: int, ch: str, s: float, prev: str, a: int) -> None:
         if (old := best[i].get(ch)) is None or s > old[0]:
-            best[i][ch] = (s, text)
+            best[i][ch] = (s, prev, a)
 
     for i in range(n):
         if not best[i]:
             continue
-        states = sorted(best[i].items(), key=lambda kv: -kv[1][0])[:12]
-        for prev, (s, text) in states:
-            for size in (1, 2, 3, 4):
-                seq = lattice[i : i + size]
-                if len(seq) < size:
-                    break
-                if None not in seq:
+        for size in (1, 2, 3, 4):
+            if i + size > n:
+                break
+            for seq in product(*units[i : i + size]):
+                raw, cost = tuple(b for b, _ in seq), sum(c for _, c in seq)
+                if None not in raw:
                     try:
-                        ch = bytes(seq).decode("utf-8")
+                        chars = [bytes(raw).decode("utf-8")]
                     except UnicodeDecodeError:
-                        continue
-                    if len(ch) == 1:
-                        put(i + size, ch, s + model.pair(prev, ch), text + ch)
-                    continue
-                if seq[0] is None and size == 1:
-                    put(i + 1, LOST, s - 12, text + LOST)
-                    continue
-                if size < 2 or seq.count(None) > 1 or (seq[0] is not None and seq[0] < 0xC2):
-                    continue
-                at = seq.index(None)
-                for x in range(0xC2, 0xF0) if at == 0 else range(0x80, 0xC0):
-                    seq2 = [*seq[:at], x, *seq[at + 1 :]]
-                    try:
-                        ch = bytes(seq2).decode("utf-8")
-                    except UnicodeDecodeError:
-                        continue
-                    if len(ch) == 1:
-                        put(i + size, ch, s + model.pair(prev, ch), text + ch)
-            if lattice[i] is not None and lattice[i] >= 0x80:
-                put(i + 1, LOST, s - 14, text + LOST)  # a byte that lost its neighbours
+                        chars = []
+                    chars = [c for c in chars if len(c) == 1]
+                else:
+                    chars = model.patterns.get(raw, ()) if size > 1 else ()
+                for ch in chars:
+                    for prev, (s, _, _) in best[i].items():
+                        put(i + size, ch, s - cost + (0.0 if ch < "\x80" and prev < "\x80" else model.pair(prev, ch)), prev, i)
+        if any(b is None or b >= 0x80 for b, _ in units[i]):  # a byte that lost its neighbours
+            for prev, (s, _, _) in best[i].items():
+                put(i + 1, LOST, s - UNEXPLAINED, prev, i)
     if not best[n]:
         return None
-    return max(best[n].values())[1]
-
-
-_LETTERS = [bytes([i]).decode("cp1252") for i in range(0xC0, 0x100) if i not in (0xD7, 0xF7)] + list("ąćęłńóśźżĄĆĘŁŃÓŚŹŻěščřžýůťďňŠČŘŽőűğşıİ’“”–—…«»ß")
-
-
-def _fill(text: str, model: Model) -> str:
-    """Letters for lost single bytes: a search over each word's lattice under pair and word frequencies."""
+    ch = max(best[n], key=lambda c: best[n][c][0])
+    score, out, i = best[n][ch][0], [], n
+    while i > 0:
+        _, prev, a = best[i][ch]
+        out.append(ch)
+        ch, i = prev, a
+    return "".join(reversed(out)), score
+
+
+def fill(text: str, model: Model) -> str:
+    """Characters for lost single bytes: the best path through each word's lattice of all known letters by pairs, then
+    changed place by place as long as word frequencies prefer it."""
+    letters, pairs = model.letters
+    if not letters:
+        return text
 
     def word(m: re.Match) -> str:
         t = m[0]
-        if LOST not in t or t.count(LOST) > 6:
+        if LOST not in t:
             return t
-        beam = [(0.0, " ", "")]
-        for ch in t:
-            options = _LETTERS if ch == LOST else (ch,)
-            beam = sorted(((s + model.pair(p, o), o, w + o) for s, p, w in beam for o in options), reverse=True)[:300]
-        return max((model.token(w), w) for _, _, w in beam)[1]
+        score, back = np.zeros(1), []
+        options = [[" "], *([letters if c == LOST else [c] for c in t]), [" "]]
+        for a, b in pairwise(options):
+            step = pairs if a is letters and b is letters else np.array([[model.pair(x, y) for y in b] for x in a])
+            total = score[:, None] + step
+            back.append(total.argmax(axis=0))
+            score = total.max(axis=0)
+        at, out = 0, []
+        for k in range(len(t), 0, -1):
+            at = int(back[k][at])
+            out.append(options[k][at])
+        out.reverse()
+        places, changed = [i for i, c in enumerate(t) if c == LOST], True
+        while changed and len(t) > len(places):
+            changed = False
+            for i in places:
+                found = max(letters, key=lambda c: model.token("".join([*out[:i], c, *out[i + 1 :]])))
+                if found != out[i] and model.token("".join([*out[:i], found, *out[i + 1 :]])) > model.token("".join(out)):
+                    out[i], changed = found, True
+        return "".join(out)
 
     return _TOKEN.sub(word, text)
 
 
+_SHOWN = re.compile(rf"([\"'`(\[<{{|]){LOST}+[\"'`)\]>}}|]|\\{LOST}")
+_NAMED = re.compile(r"(?i)u\+fffd|\\ufffd|replacement (?:char|mark)")
+
+
+def mentioned(part: str, line: str, at: int, model: Model) -> float:
+    """Score of the reading that the marks of a passage, at a place of its line, were written as such; the letters beside them count as they stand."""
+    named = bool(_NAMED.search(line))
+    out = 0.0
+    for m in _TOKEN.finditer(part):
+        t = m[0]
+        if LOST not in t:
+            out += 0.0 if t.isascii() else model.token(t)
+            continue
+        shown = named or bool(_SHOWN.search(line[max(0, at + m.start() - 1) : at + m.end() + 1])) and not t.strip(LOST)
+        out -= (SHOWN if shown else MENTION) * t.count(LOST)
+        chars = " " + t + " "
+        out += sum(model.pair(a, b) for a, b in pairwise(chars) if LOST not in (a, b))
+    return out
+
+
 def _channels(text: str) -> Iterator[tuple[str, float, str]]:
     """(channel, log prior, text) of the readings without lost bytes."""
     for reader in READERS:
@@ -271,27 +338,72 @@ def structural(line: str) -> bool:
     return False
 
 
-_LOSS = re.compile(rf"[^\W\d_]{LOST}|{LOST}[^\W\d_]|[\u0080-\U0010ffff]{LOST}|{LOST}{{2}}")
+_NEXT = "[\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2122]"
+#: The head of a UTF-8 sequence, as a one-byte reader shows it, with '?' or a blank where one of the bytes behind it should be.
+_HOLE = re.compile(rf"[\u00c2-\u00df][? ]|[\u00e0-\u00ef](?:{_NEXT}[? ]|[? ]{_NEXT})")
 
 
-def _decode_part(part: str, model: Model) -> tuple[str, str, bool] | None:
-    own = model.line(part)
+def _units(part: str, reader: str, holes: bool) -> Units | None:
+    """Byte alternatives of a passage under a reader: a mark is a lost byte, with holes '?' may be one and a blank may be a no-break space."""
+    out: Units = []
+    raw = to_bytes(part, reader)
+    if raw is None:
+        return None
+    for ch, b in zip(part, raw, strict=True):
+        if b is None:
+            out.append([(None, 0.0)])
+        elif holes and ch == "?":
+            out.append([(0x3F, 0.0), (None, HOLE)])
+        elif holes and ch == " ":
+            out.append([(0x20, 0.0), (0xA0, HOLE)])
+        else:
+            out += [[(x, 0.0)] for x in b]
+    return out
+
+
+#: readers under which marks and holes are tried as lost bytes of UTF-8
+_HOLE_READERS = ("cp1252", "latin-1")
+_LOSSY_READERS = ("cp1252", "cp1251", "cp1250", "cp437", "gb18030", "cp932", "big5", "cp949")
+
+
+def _with_losses(part: str, line: str, at: int, model: Model) -> tuple[str, str, bool] | None:
+    """The best reading of a passage with marks or holes as one whose bytes were lost, or None if it is better as it stands."""
+    marked = LOST in part
+    own = mentioned(part, line, at, model) if marked else model.line(part)
     best = None
+    if marked:
+        text = fill(part, model)
+        best = (model.line(text) - 3.0 - UNEXPLAINED * text.count(LOST), "bytes lost in utf-8", text)
+    for reader in _LOSSY_READERS if marked else _HOLE_READERS:
+        units = _units(part, reader, not marked)
+        if units is None or not any(b is not None and b >= 0x80 for u in units for b, _ in u[:1]):
+            continue
+        got = utf8_search(units, model)
+        if got and got[0] != part:
+            score = model.line(got[0]) - 3.0 - (UNEXPLAINED * got[0].count(LOST)) - (0.0 if marked else HOLE * (part.count("?") + part.count(" ") - got[0].count("?") - got[0].count(" ")))
+            if best is None or score > best[0]:
+                best = (score, f"utf-8 as {reader}, bytes lost", got[0])
+    return (best[1], best[2], True) if best and best[0] > own else None
+
+
+def _decode_part(part: str, line: str, at: int, model: Model) -> tuple[str, str, bool] | None:
+    """(channel, restored passage, whether bytes were lost), or None if "no damage" explains it best."""
     if LOST in part:
-        if not _LOSS.search(part):
-            return None
-        options = [("bytes lost in utf-8", _fill(part, model))]
-        for reader in ("gb18030", "cp932", "big5", "cp949", "cp1252", "cp1251", "cp1250", "cp437"):
-            units = to_bytes(part, reader)
-            if units is not None and any(u is not None and u >= b"\x80" for u in units) and (got := _utf8_lattice(units, model)):
-                options.append((f"utf-8 as {reader}, bytes lost", got))
-        name, text = max(options, key=lambda o: model.line(o[1]) - 15 * o[1].count(LOST))
-        return name, text, True
+        if got := _with_losses(part, line, at, model):
+            return got
+        # what stands between marks that are meant may be garbled all the same
+        pieces = [(p, _decode_part(p, line, at, model) if p and LOST not in p and not p.isascii() else None) for p in re.split(f"({LOST}+)", part)]
+        found = [g for _, g in pieces if g]
+        return (found[0][0], "".join(g[1] if g else p for p, g in pieces), any(g[2] for g in found)) if found else None
+    own = model.line(part)
+    best = None
     for name, prior, text in _channels(part):
         gain = model.line(text) - own + prior
         if gain > 0 and (best is None or gain > best[0]):
             best = (gain, name, text)
-    return best and (best[1], best[2], False)
+    if best:
+        return best[1], best[2], False
+    return _with_losses(part, line, at, model) if _HOLE.search(part) else None
 
 
 def decode_line(line: str, model: Model) -> tuple[str, str, bool] | None:
@@ -301,7 +413,7 @@ def decode_line(line: str, model: Model) -> tuple[str, str, bool] | None:
     body = line.replace("﻿", "")
     if body.isascii():
         return None
-    got = _decode_part(body, model)
+    got = _decode_part(body, body, 0, model)
     if got:
         return got
     parts, names, lossy = [], [], False
@@ -309,7 +421,7 @@ def decode_line(line: str, model: Model) -> tuple[str, str, bool] | None:
     for m in _CLAUSE.finditer(body):
         if m[0].isascii() or len(m[0]) == len(body):
             continue
-        if one := _decode_part(m[0], model):
+        if one := _decode_part(m[0], body, m.start(), model):
             parts += [body[at : m.start()], one[1]]
             at = m.end()
             names.append(one[0])
@@ -320,7 +432,7 @@ def decode_line(line: str, model: Model) -> tuple[str, str, bool] | None:
 def frequency_tables(files: DataFrame) -> Model:
     """Counts all words and character pairs with letters outside ASCII, over every undamaged line of the corpus.
 
-    Tasks count by bucket before the shuffle; at most WORD_BUCKETS + PAIR_BUCKETS + CHAR_BUCKETS
+    Tasks count by bucket before the shuffle; at most 2 * WORD_BUCKETS + PAIR_BUCKETS + CHAR_BUCKETS
     sums reach the driver, whatever the corpus's size.
     """
 
@@ -336,7 +448,8 @@ def frequency_tables(files: DataFrame) -> Model:
                     for t in _TOKEN.findall(line.replace("﻿", "")):
                         if t.isascii():
                             continue
-                        sums[0, _hash(t.lower()) & (WORD_BUCKETS - 1)] += 1
+                        for k in _word_buckets(t):
+                            sums[0, k] += 1
                         prev = " "
                         for ch in (*t, " "):
                             sums[1, _hash(prev + ch) & (PAIR_BUCKETS - 1)] += 1
@@ -349,7 +462,7 @@ def frequency_tables(files: DataFrame) -> Model:
         )
 
     sums = files.select("content").where("content is not null").mapInArrow(count, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    tables = [np.zeros(n, np.float32) for n in (WORD_BUCKETS, PAIR_BUCKETS, CHAR_BUCKETS)]
+    tables = [np.zeros(n, np.float32) for n in (2 * WORD_BUCKETS, PAIR_BUCKETS, CHAR_BUCKETS)]
     kind, bucket, n = (sums.column(c).to_numpy() for c in ("kind", "bucket", "n"))
     for k, t in enumerate(tables):
         t[bucket[kind == k]] = n[kind == k]

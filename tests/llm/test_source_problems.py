@@ -1,6 +1,7 @@
 """Problems 1 to 5: syntax, secrets, encodings, documentation, hand-written files."""
 
 import ast
+import itertools
 import json
 import time
 
@@ -237,6 +238,47 @@ def test_garbled_files(spark, files_of):
     assert encodings.garbled_files(f.limit(0)).count() == 0
 
 
+PROSE = [
+    "le café au lait a été servi à côté de la fenêtre", "voilà le fichier déjà créé", "la durée est dépassée à la fin", "Die Größe der Datei wird geprüft", "für die Straße und größere Übertragungen", "Ungültige Zeichen überspringen und die Länge wählen",
+    "von 10:00 – 12:00 geöffnet", "on n’a pas vérifié l’écart", "déjà vu à l’été", "kostet 15 € – für alle",
+]
+
+
+@pytest.fixture(scope="module")
+def prose_model(spark):
+    return encodings.frequency_tables(spark.createDataFrame([(t,) for t in PROSE for _ in range(8)], "content string"))
+
+
+def test_lost_bytes_are_decided_by_the_search(prose_model):
+    garbled = ["caf? au lait Ã?t?", "voilÃ  le fichier", "10:00 \ufffd 12:00", "# Gr\ufffd\ufffde der Datei", "d\ufffdj\ufffd vu", "la dur\ufffde", "L鋘ge und Ung黮tige Zeichen", '"\ufffd" la dur\ufffde']
+    assert [t for t in garbled if not encodings.decode_line(t, prose_model)] == []
+    sound = ["# the replacement character (a\ufffdb)", "x = text.replace('\ufffd', '')", 'y = "\ufffd" if a else b', "# U+FFFD \ufffd stands for it", "# été à la page ? voilà", "for großer Straße ", "foo和bar"]
+    assert [(t, encodings.decode_line(t, prose_model)) for t in sound if encodings.decode_line(t, prose_model)] == []
+    assert encodings.decode_line("voilÃ  le fichier", prose_model)[1] == "voilà le fichier" and "Größe" in encodings.decode_line("Gr\ufffd\ufffde", prose_model)[1]
+    assert encodings.decode_line("Gr\ufffd\ufffde " * 400, prose_model)[1].count("Größe") == 400  # no bound on marks
+
+
+def test_search_against_brute_force(prose_model):
+    """The search finds the best of all texts that fit the bytes; a lost byte is none of ASCII, which no reader loses."""
+    m = prose_model
+    for text in ("é", "aé", "éà", "été", "é–a"):
+        raw = text.encode()
+        for gone in [(i,) for i in range(len(raw))] + [(i, j) for i in range(len(raw)) for j in range(i)]:
+            if any(raw[i] < 0x80 for i in gone):
+                continue
+            units = [[(None if i in gone else b, 0.0)] for i, b in enumerate(raw)]
+            best = None
+            alphabet = [*m.known, *(chr(b) for b in raw if b < 0x80)]
+            for n in range(1, len(text) + 1):
+                for cs in itertools.product(alphabet, repeat=n):
+                    own = "".join(cs).encode()
+                    if len(own) == len(raw) and all(a >= 0x80 if i in gone else a == b for i, (a, b) in enumerate(zip(own, raw, strict=True))):
+                        score = sum(0.0 if a < "\x80" and b < "\x80" else m.pair(a, b) for a, b in itertools.pairwise(" " + "".join(cs)))
+                        best = max(best or (score, ""), (score, "".join(cs)))
+            got = encodings.utf8_search(units, m)
+            assert got and best and got[1] >= best[0] - 1e-9
+
+
 # -- 4 --------------------------------------------------------------------------
 
 
