@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
-from .secrets import VOCABULARY, _encoding
+from .vocabulary import VOCABULARY, encoding, shipped
 
 KEY_BUCKETS = 4096
 #: Weights whose key distributions are averaged to lay out the buckets; no weight between them puts more than a
@@ -52,12 +52,13 @@ def quality_weight(text: str) -> float:
 
 def sizes(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """(tokens, weight) of a text: its number of tokens in a public vocabulary and its quality weight; nulls for null."""
+    name = shipped(SparkSession.active(), vocabulary)
 
     @F.pandas_udf("tokens bigint, weight double")
     def count(texts):
         import pandas as pd
 
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = encoding(name).encode_ordinary
         tokens = pd.Series([None if t is None else len(encode(t)) for t in texts], dtype="Int64")
         return pd.DataFrame({"tokens": tokens, "weight": [None if t is None else quality_weight(t) for t in texts]})
 

@@ -2,14 +2,15 @@
 
 An automaton over short cue words picks the lines worth reading.  On those, context rules
 (key names, authorisation headers, addresses, connection strings, known token shapes) give
-candidate values, and a candidate counts when it isn't a placeholder, reference, checksum or
-field name and its characters per subword under a public tokenizer vocabulary show that it
-is no natural string.  A long string of letters of both cases and digits is a candidate
-without any cue.  Redaction writes a mask of the same length over each value, so every
+candidate values; placeholders, references and checksums are none.  The verdict is the
+candidate's characters per subword under a public tokenizer vocabulary: natural words have
+four and more, random strings two.  What the value is made of and where it stands decide how
+natural it may be -- a password may be words with digits, a name of letters must look random.
+A long string of letters of both cases and digits is a candidate without any cue.  Redaction writes a mask of the same length over each value, so every
 offset and line of the text stays where it was.
 
 Null and blank texts hold nothing; several values on a line give one found row; repeated
-rows count once.  The vocabulary is read from a file whose path is a parameter.
+rows count once.  The vocabulary is read from a file whose path is a parameter and sent along with the job.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+from .vocabulary import VOCABULARY, encoding, shipped
 
 # Words by which a line is chosen for reading; every match of a rule of _line_spans holds one of them.
 CUES = (
@@ -42,7 +43,7 @@ _KEYED = re.compile(
     rf"""(?ix)(?P<key>[\w.\-]*?(?:{_NAME})[\w.\-]*)(?P<quote>\\?["'`]?)\]?\)?
     (?:[ ]?\??:[ ]?[A-Za-z][\w.<>\[\]| ]*?(?=[ ]=[ ]))?
     (?P<sep>[ \t]*(?:=>|:=|=|:|：|\|\||\?\?|,|\bor\b)[ \t]*|[ ](?:is|was|lautet|est|es|eh|ist)[ ]|[ ]?[是为][ ：]?)
-    (?:\(|new[ ]\w+\()?[ ]?(?:f|r|b|@)?
+    (?:\(|new[ ]\w+\()?[ ]?(?:(?:f|r|b|@)(?=\\?["'`]))?
     (?P<value>\\"(?:[^"\\])+\\"|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`|[^\s"'`<>(){{}}\[\];,]++(?![("'`\[{{]))"""
 )
 _DEFAULTED = re.compile(r"""(?:\|\||\?\?|\bor\b|,)\s*(["'`])((?:[^"'`\\]|\\.)+)\1""")
@@ -70,49 +71,66 @@ _CODE = re.compile(r"(?i)(?:process\.env|os\.environ|getenv|environ\[|system\.ge
 _CHECKSUM = re.compile(r"(?i)^(?:sha\d{1,3}|md5|blake2\w?|crc32)[-:=]|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^\$2[aby]?\$|^\$argon")
 _NOT_SECRET_KEY = re.compile(r"(?i)(?:hash|checksum|sha\d*|md5|fingerprint|integrity|public|pub|file|path|dir)$|^max_|public[._-]?key|(?:^|[._-])(?:sha\d+|md5|commit|run[._-]?id|checksum|integrity|pub)(?:[._-]|$)")
 _PASSWORD = re.compile(r"(?i)pass(?![a-z])|(?<![a-z])pw(?![a-z])|passw|passwd|pwd|passphrase|passcode|kennwort|passwort|contrase|mot de passe|senha|密码|口令")
-_MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*\d)|(?=.*[a-z])(?=.*[A-Z])(?=.*[^A-Za-z0-9_])")
-_IDENT = re.compile(r"^[A-Za-z]+(?:[._-][A-Za-z]+)*\d{0,2}$|^[a-z_]+(?:[._-][a-z]+)*_?\d{0,3}$")
 #: A string that no key names, the whole of a literal or of a value; what its line says of checksums, ids, public keys and data speaks against it.
 _LOOSE = re.compile(r"(?<![^\s\"'`=:,(\[{])(?=[^\W_a-z]*[a-z])(?=[^\W_]*?\d)[A-Za-z0-9][\w+/~-]{19,}={0,2}(?![^\s\"'`,;)\]}])", re.ASCII)
 _NO_SECRET_LINE = re.compile(r"(?i)(?:hash|checksum|sha-?\d|md5|crc|digest|fingerprint|integrity|signature|public|ssh-|certificate|commit|revision|\brev\b|etag|uuid|guid|(?:^|[^a-z])ids?(?![a-z])|(?-i:[a-z]Ids?(?![a-z]))|base64|data:|h1:|nonce|\bpub|https?://)")
 _ENCODED_BLOCK = re.compile(r"-----BEGIN [^-\n]+-----[\s\S]*?(?:-----END[^-\n]*-----|\Z)")
 _HUMAN = re.compile(r"^[A-Za-z]{3,}(?:[-+.!_#*?&@][A-Za-z]{3,})*[-+.!_#*?&@]?\d{2,}[-+.!_#*?&@]?$")
+_NAME_LIKE = re.compile(r"^_*[A-Za-z]+(?:[._-]+[A-Za-z]+)*_*\d{0,2}$|^[a-z_]+(?:[._-][a-z]+)*_?\d{0,3}$")
 
-
-@lru_cache(maxsize=2)
-def _encoding(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+#: The most characters a subword of values that count, by what they are made of: letters as in a name, words with digits as people
+#: choose them, anything else; and by the place: of a password, of another secret, in an address.
+LIMITS = {
+    ("name", "password"): 2.15, ("name", "secret"): 2.15, ("name", "address"): 2.8,
+    ("human", "password"): 5.0, ("human", "secret"): 4.5, ("human", "address"): 5.0,
+    ("other", "password"): 4.0, ("other", "secret"): 2.75, ("other", "address"): 4.5,
+    ("shape", "password"): 3.2, ("shape", "secret"): 3.2, ("shape", "address"): 3.2,
+}
+#: The fewest characters of such values; a short name that looks random may be an abbreviation.
+LEAST = {("name", "password"): 8, ("name", "secret"): 16, ("other", "secret"): 12}
 
 
 def chars_per_subword(text: str, vocabulary: str = VOCABULARY) -> float:
     """Natural words have four and more characters a subword, random strings about two."""
-    encode = _encoding(vocabulary).encode_ordinary
+    encode = encoding(vocabulary).encode_ordinary
     return len(text) / max(1, sum(len(encode(text[a : a + 4096])) for a in range(0, len(text), 4096)))
 
 
+def made_of(value: str) -> str | None:
+    """name, human, shape or other; None for values that no secret has: numbers, and words with signs but without digits."""
+    if _SHAPES.search(value):
+        return "shape"
+    if _NAME_LIKE.match(value):
+        return "name"
+    if _HUMAN.match(value):
+        return "human"
+    letters, digits = re.search(r"[A-Za-z]", value), re.search(r"\d", value)
+    if letters and digits:
+        return "other"
+    return "other" if letters and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"[^A-Za-z0-9_]", value) else None
+
+
+_PARTS_OF_SHAPE = re.compile(r"[-_.]+")
+
+
+def unnatural(value: str, place: str, vocabulary: str) -> bool:
+    """Whether a value has too few characters a subword to be natural text in its place; the parts of a known shape count as words."""
+    kind = made_of(value)
+    if kind == "shape":
+        return chars_per_subword(_PARTS_OF_SHAPE.sub(" ", value), vocabulary) < LIMITS[kind, place]
+    if kind == "name" and place != "secret" and _HUMAN.match(value):
+        kind = "human"  # of a name with a number only the place tells which it is
+    return kind is not None and len(value) >= LEAST.get((kind, place), 6 if place != "address" else 4) and chars_per_subword(value, vocabulary) < LIMITS[kind, place]
+
+
 def _usable(value: str, key: str, vocabulary: str) -> bool:
     """Whether a value in the place of a secret is one that could be used."""
     v = value.strip()
     if len(v) < 6 or re.search(r"\s", v) or _PLACEHOLDER.match(v) or _CHECKSUM.match(v):
         return False
-    if _SHAPES.search(v):
-        return True
-    if "://" in v or "${" in v or "{{" in v or len(set(v)) < 5:
-        return False
-    password = bool(_PASSWORD.search(key))
-    if _IDENT.match(v) and (not _MIXED.search(v) or not password):
-        return len(v) >= 16 and v != v.lower() and v != v.upper() and chars_per_subword(v, vocabulary) < 2.2
-    if not _MIXED.search(v):
+    if not _SHAPES.search(v) and ("://" in v or "${" in v or "{{" in v or len(set(v)) < 5):
         return False
-    ratio = chars_per_subword(v, vocabulary)
-    if password:
-        return ratio < 4 or bool(_HUMAN.match(v))
-    return (len(v) >= 12 and ratio < 2.75) or bool(_HUMAN.match(v) and ratio < 4)
+    return unnatural(v, "password" if _PASSWORD.search(key) else "secret", vocabulary)
 
 
 def _unquote(m: re.Match, group: str) -> tuple[int, int, bool]:
@@ -130,7 +148,7 @@ def _unquote(m: re.Match, group: str) -> tuple[int, int, bool]:
 def _line_spans(line: str, lower: str, vocabulary: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in _SHAPES.finditer(line):
-        if len(set(m[0])) > 8 and not re.search(r"(?i)example|x{6}|0{6}|1234567890", m[0]):
+        if len(set(m[0])) > 8 and unnatural(m[0], "secret", vocabulary) and not re.search(r"(?i)example|x{6}|0{6}|1234567890", m[0]):
             out.append(m.span())
     if "earer" in line or "EARER" in line:
         for m in _BEARER.finditer(line):
@@ -143,11 +161,11 @@ def _line_spans(line: str, lower: str, vocabulary: str) -> list[tuple[int, int]]
             except (binascii.Error, ValueError, UnicodeDecodeError):
                 continue
             user, colon, pw = plain.partition(":")
-            if colon and user.isprintable() and len(pw) >= 4 and pw.isprintable() and not _PLACEHOLDER.match(pw):
+            if colon and user.isprintable() and len(pw) >= 4 and pw.isprintable() and not _PLACEHOLDER.match(pw) and unnatural(m[1], "address", vocabulary):
                 out.append(m.span(1))
     if "://" in line:
         for m in _USERINFO.finditer(line):
-            if len(m[1]) >= 4 and not _PLACEHOLDER.match(m[1]) and "${" not in m[1] and "{" != m[1][0] and (not _IDENT.match(m[1]) or m[1] not in (m[1].lower(), m[1].upper()) and chars_per_subword(m[1], vocabulary) < 2.8):
+            if not _PLACEHOLDER.match(m[1]) and "${" not in m[1] and "{" != m[1][0] and unnatural(m[1], "address", vocabulary):
                 out.append(m.span(1))
         for m in _QUERY.finditer(line):
             if _usable(m[1], "", vocabulary):
@@ -171,7 +189,8 @@ def _line_spans(line: str, lower: str, vocabulary: str) -> list[tuple[int, int]]
                 out.append(m.span(1))
     for m in _PROSE.finditer(line):
         v = m[1].rstrip(".;)")
-        if (_HUMAN.match(v) or len(v) >= 8 and _MIXED.search(v) and re.search(r"\W", v) or len(v) >= 10 and re.search(r"[a-z]", v) and re.search(r"\d", v)) and not re.search(r"[/=<>(){}\[\]]", v) and _usable(v, "password", vocabulary) and (_HUMAN.match(v) or chars_per_subword(v, vocabulary) < 3.2):
+        # in prose user names stand beside passwords; they have one case and no digits
+        if not re.search(r"[/=<>(){}\[\]]", v) and (made_of(v) in ("human", "other", "shape") or made_of(v) == "name" and v.lower() != v != v.upper()) and (len(v) >= 8 or _HUMAN.match(v)) and _usable(v, "password", vocabulary) and (_HUMAN.match(v) or chars_per_subword(v, vocabulary) < 3.2):
             out.append((m.start(1), m.start(1) + len(v)))
     pos = 0
     while m := _KEYED.search(line, pos):
@@ -279,11 +298,13 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 def found_secrets(files: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Distinct (repository_id, file_path, line_number) of the lines on which a secret value begins."""
 
+    name = shipped(files.sparkSession, vocabulary)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple[str, str, int]] = []
             for repo, path, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for n in {text.count("\n", 0, a) + 1 for a, _ in secret_spans(text, vocabulary)}:
+                for n in {text.count("\n", 0, a) + 1 for a, _ in secret_spans(text, name)}:
                     rows.append((repo, path, n))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["repository_id", "file_path", "line_number"])
@@ -294,13 +315,15 @@ def found_secrets(files: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def redacted(table: DataFrame, keys: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """keys, secrets (count) and content with every secret masked; null content stays null. Other columns are dropped."""
 
+    name = shipped(table.sparkSession, vocabulary)
+
     @F.pandas_udf("content string, secrets int")
     def mask(texts):
         import pandas as pd
 
         rows = []
         for t in texts:
-            spans = secret_spans(t, vocabulary)
+            spans = secret_spans(t, name)
             rows.append((redact(t, spans) if spans else t, len(spans)))
         return pd.DataFrame(rows, columns=["content", "secrets"])
 
