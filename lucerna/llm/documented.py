@@ -14,6 +14,7 @@ taken from the file name; repeated rows count once.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,18 +33,23 @@ Paren <- "(" Inner* ")"
 Brack <- "[" Inner* "]"
 Brace <- "{" Inner* "}"
 """
-_C_SHARED = (
+_C_BASE = (
     _SHARED
     + r"""
 Note <- ~"//[^\n]*" / ~"/\*(?:[^*]|\*(?!/))*\*/"
 Docs: <- (~"\s*" Comment)*
 Comment: <- ~"//[^\n]*(?:\r?\n[ \t]*//[^\n]*)*" / ~"/\*(?:[^*]|\*(?!/))*\*/"
 Gap <- (~"\s+" / Note)*
-String <- ~"\"(?:[^\"\\\n]|\\.)*\"" / ~"'(?:[^'\\\n]|\\.)*'" / ~"`(?:[^`\\]|\\[\s\S])*`"
 Inner <- String / Note / Paren / Brack / Brace / ~"[^()\[\]{}\"'`/]+" / "/"
 Angle <- "<" (Angle / Paren / Brack / Brace / String / "=>" / ~"[^<>()\[\]{}\"'`=;]+" / "=")* ">"
 """
 )
+_C_SHARED = (
+    _C_BASE
+    + r"""
+String <- ~"\"(?:[^\"\\\n]|\\.)*\"" / ~"'(?:[^'\\\n]|\\.)*'" / ~"`(?:[^`\\]|\\[\s\S])*`"
+"""
+)
 GRAMMARS = {
     "python": r"""
 Chunk <- ~"﻿?\s*" (Decorator ~"\s*")* (~"async[ \t]+")? ~"def[ \t]+" Name S Brack? S Paren S ("->" Type)? ":" Body
@@ -82,9 +88,31 @@ Kind <- ~"(?:class|interface|enum|record|new|return|if|for|while|switch|throw|im
 Type <- ~"[^\W\d][\w$.:]*" Gap Angle? (Gap Brack)* ~"(?:[ \t]*[*&]+|\.{3})?" &(Gap ~"[^\W\d]")
 """
     + _C_SHARED,
+    "rust": r"""
+Chunk <- Docs Gap (Attribute Gap)* (~"pub\b" Gap (Paren Gap)?)? (~"(?:default|const|async|unsafe|extern)\b" Gap (String Gap)?)* ~"fn\b" Gap Name Gap Angle? Gap Paren
+Attribute <- ~"#!?" Brack
+"""
+    + _C_BASE
+    + r"""
+String <- ~"\"(?:[^\"\\]|\\[\s\S])*\"" / ~"'(?:[^'\\\n]|\\[^'\n]+|\\')'" / ~"'[^\W\d]\w*"
+""",
+    "php": r"""
+Chunk <- Docs Gap (~"#" Brack Gap)* (~"(?i:public|private|protected|static|final|abstract|readonly)\b" Gap)* ~"(?i:function)\b" Gap ~"&?" Gap Name Gap Paren
+"""
+    + _C_SHARED,
+    "swift": r"""
+Chunk <- Docs Gap (~"@\w+" Paren? Gap)* (~"(?:public|private|fileprivate|internal|open|static|class|final|override|mutating|nonmutating|nonisolated|convenience|required)\b" Gap)* ~"func\b" Gap Name Gap Angle? Gap Paren
+"""
+    + _C_SHARED,
+    "ruby": r"""
+Chunk <- ~"\s*" Docs ~"\s*def[ \t]+(?:self\.)?" Name
+Docs: <- (~"\s*" Comment)*
+Comment: <- ~"#[^\n]*(?:\r?\n[ \t]*#[^\n]*)*"
+"""
+    + _SHARED.partition("Paren <-")[0],
 }
 _PEGS: dict[str, Peg] = {}
-FAMILY = {"python": "python", "javascript": "script", "typescript": "script", "go": "go", "java": "java", "c": "java", "cpp": "java", "csharp": "java", "kotlin": "java"}
+FAMILY = {"python": "python", "javascript": "script", "typescript": "script", "go": "go", "java": "java", "c": "java", "cpp": "java", "csharp": "java", "kotlin": "java", "rust": "rust", "php": "php", "swift": "swift", "ruby": "ruby"}
 
 _TOOL = re.compile(
     r"(?ix)^\W*(?:eslint|tslint|jshint|jslint|prettier|stylelint|biome|istanbul|c8|v8|webpack\w*|@ts-|ts-(?:ignore|nocheck|expect)|@flow|nolint|lint:|go:|\+build|noinspection|nosonar|nosec|sonar|checkstyle|spotbugs|suppress|pmd|formatter:|"
@@ -128,7 +156,7 @@ def _lines(comment: str, python: bool) -> list[str]:
         return body.split("\n")
     if comment.startswith("/*"):
         return [re.sub(r"^\s*\*+(?!\S*\*)[ ]?|^\s*\*(?=\s|$)", "", x) for x in re.sub(r"^/\*+!?|\**/$", "", comment).split("\n")]
-    return [re.sub(r"^\s*//+[/!]?", "", x) for x in comment.split("\n")]
+    return [re.sub(r"^\s*(?://+[/!]?|#+)", "", x) for x in comment.split("\n")]
 
 
 def description(lines: list[str], name: str) -> str:
@@ -188,13 +216,18 @@ def documented(content: str | None, lang: str | None) -> tuple[str, str, int, in
     if family == "python":
         if '"' not in content and "'" not in content:
             return None
-    elif not content.lstrip("﻿ \t\r\n").startswith("/"):
+    elif not content.lstrip("﻿ \t\r\n").startswith("#" if family == "ruby" else "/"):
         return None
     content = content.removeprefix("﻿")
     try:
         kept = _PEGS[family].parse(content)
-    except RecursionError:  # brackets nested hundreds deep
-        return None
+    except RecursionError:  # brackets nested hundreds deep: a level is some dozen calls and at least one character
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(limit + 1000 + 30 * len(content))
+        try:
+            kept = _PEGS[family].parse(content)
+        finally:
+            sys.setrecursionlimit(limit)
     if kept is None:
         return None
     docs = [(a, b) for r, a, b in kept if r == ("Text" if family == "python" else "Comment")]

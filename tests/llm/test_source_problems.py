@@ -318,6 +318,28 @@ def test_documented_functions(spark, chunks_of):
 # -- 5 --------------------------------------------------------------------------
 
 
+SAID = "Returns every open task of the queue, oldest first."
+OTHER_LANGUAGES = {
+    "rust": f"/// {SAID}\n#[inline]\npub(crate) async fn open_tasks<'a, T: Iterator<Item = &'a str>>(q: &'a Queue<T>, c: char) -> Vec<T> {{\n  q.iter() }}",
+    "php": f"/**\n * {SAID}\n * @param Queue $q\n */\npublic static function open_tasks(Queue $q = null) {{ }}", "swift": f"/// {SAID}\n@discardableResult\npublic func open_tasks<T>(_ q: Queue<T>) -> [T] {{ }}",
+    "ruby": f"# {SAID}\ndef self.open_tasks(q)\n  q\nend", "kotlin": f"/** {SAID} */\nfun open_tasks(q: Queue): List<Task> {{ }}",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(OTHER_LANGUAGES))
+def test_documentation_of_more_languages(lang):
+    text = OTHER_LANGUAGES[lang]
+    name, said, a, e = documented.documented(text, lang)
+    assert (name, said) == ("open_tasks", SAID) and SAID in text[a:e]
+    assert documented.documented(text.replace(SAID, "TODO"), lang) is None and documented.documented(text[text.index("\n") + 1 :] if lang != "php" else text[text.index("public") :], lang) is None
+
+
+def test_documentation_of_deep_headers():
+    deep = lambda a, b: a * 3000 + b * 3000
+    assert documented.documented(f'def f(a={deep("(", ")")}):\n    """{SAID}"""\n', "python")[1] == SAID
+    assert documented.documented(f"/** {SAID} */\nfunction f(a = {deep('[', ']')}) {{ }}", "javascript")[1] == SAID
+
+
 def test_unwritten_files(spark, files_of):
     body = "\n".join(f"def step_{i}(value, other):\n    total = value * {i} + other\n    return total if total > {i} else None\n" for i in range(12))
     dense = "".join(f"function a{i}(b,c){{var d=b||{{}};return d.x=c,e(d,b)}}" for i in range(40))
