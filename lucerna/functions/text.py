@@ -68,8 +68,8 @@ def path_priority(path: Column, question_intents: set[str]) -> Column:
 
 
 def occurrences(text: Column, word: Column) -> Column:
-    """How often a word occurs in a text, not overlapping itself."""
-    return (F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)
+    """How often a word occurs in a text, not overlapping itself; counted in bytes, whose number a string knows."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))) / F.octet_length(word)
 
 
 # What is redacted before a text is shown.

@@ -22,11 +22,9 @@ from .corpus import KEY
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 
-def top(scored: DataFrame, limit: int, score: str = "score") -> DataFrame:
-    """The ranked list of the limit best scores above 0 in each repository."""
-    order = Window.partitionBy("repository_id").orderBy(F.col(score).desc(), "file_path", "chunk_index")
-    ranked = scored.where(F.col(score) > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return ranked.select(*KEY, (-F.col(score)).alias("distance"), "rank")
+KEYWORD, OKAPI, VECTOR = "keyword", "okapi", "vector"
+#: A list of a plan: what it ranks by, and the question.
+Wanted = list[tuple[str, str]]
 
 
 def _words(words: list[str]) -> Column:
@@ -38,65 +36,115 @@ def _term_counts(own: Column, words: list[str]) -> Column:
     return F.filter(own, lambda t: F.array_contains(_words(words), t))
 
 
-def keyword_score(path: Column, full_text: Column, question: str) -> Column:
-    """Sum over the keywords in path or content of 1 + 1.4 per occurrence up to ten, 2.5 more if in the path, plus the path's weight."""
-    ks = keywords(question)
-    if not ks:
-        return F.lit(0.0)
-    text, p = F.lower(full_text), F.lower(path)
+def _terms(question: str) -> list[str]:
+    """The words Okapi looks for: the keywords, or all words of a question that has none."""
+    return keywords(question) or sorted(set(re.findall(TOKEN_PYTHON, question.lower())))
 
-    def add(acc: Column, k: Column) -> Column:
-        n = occurrences(text, k)
-        return acc + F.when(n > 0, 1.0 + F.least(n, F.lit(10.0)) * 1.4 + F.when(F.instr(p, k) > 0, 2.5).otherwise(0.0)).otherwise(0.0)
 
-    return F.aggregate(_words(ks), F.lit(0.0), add) + path_priority(path, intents(question))
-
-
-def term_frequencies(corpus: DataFrame, words: list[str]) -> DataFrame:
-    """(key, term, tf) of the words' occurrences; only these are shuffled, counted in the tasks first."""
-    found = corpus.select(*KEY, F.explode(tokens(F.col("full_text"))).alias("term")).where(F.col("term").isin(words))
-    return found.groupBy(*KEY, "term").agg(F.count(F.lit(1)).alias("tf"))
+def _plain(ks: list[str], n: Column, path: Column) -> Column:
+    """Sum over the keywords in path or content of 1 + 1.4 per occurrence up to ten, 2.5 more if in the path; n: occurrences in the order of ks."""
+    one = F.zip_with(n, _words(ks), lambda c, k: F.when(c > 0, 1.0 + F.least(c, F.lit(10.0)) * 1.4 + F.when(F.instr(path, k) > 0, 2.5).otherwise(0.0)).otherwise(0.0))
+    return F.aggregate(one, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def _saturated(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def keyword_chunks(corpus: DataFrame, question: str, limit: int) -> DataFrame:
-    """Ranked list by keyword score plus twice the saturation score, a BM25 without weights for rarity.
+def _found(tfs: Column) -> Column:
+    """(i, tf) of the terms that occur; few of a question's terms do."""
+    return F.filter(F.transform(tfs, lambda x, i: F.struct(i.alias("i"), x.alias("tf"))), lambda x: x["tf"] > 0)
+
 
-    Document length counts path and content, the average length of a repository only content.
+def _repository_statistics(corpus: DataFrame, terms: list[str], okapi: bool) -> DataFrame:
+    """(repository_id, average, content_average, idfs): mean token counts of searched texts and of contents, and inverse document
+    frequencies of the terms, in one pass.
+
+    Frequencies below 0 become a quarter of the mean over the repository's vocabulary, for which documents are counted
+    for every term; only the questions' terms are kept.  Each chunk also counts under the term '', which no text has: that
+    row of a repository has its documents and lengths.
+    """
+    own = corpus.select("repository_id", tokens(F.col("full_text")).alias("own"), F.size(tokens(F.col("file_path"))).alias("p"))
+    every = F.array(F.lit(""))
+    counted = F.array_union(every, F.col("own")) if okapi else every
+    rows = own.select("repository_id", F.explode(counted).alias("term"), F.size("own").alias("length"), (F.size("own") - F.col("p")).alias("n"))
+    by_term = rows.groupBy("repository_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("lengths"), F.sum("n").alias("ns"))
+    sizes = by_term.where("term = ''").select("repository_id", F.col("df").alias("docs"), (F.col("lengths") / F.col("df")).alias("average"), F.greatest(F.col("ns") / F.col("df"), F.lit(1.0)).alias("content_average"))
+    if not okapi:
+        return sizes.select("repository_id", "average", "content_average", F.lit(None).cast("map<string,double>").alias("idfs"))
+    idf = by_term.where("term <> ''").join(sizes.select("repository_id", "docs"), "repository_id").withColumn("idf", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mine = F.collect_list(F.when(F.col("term").isin(terms), F.struct("term", "idf")))  # at most one entry a term of the questions
+    per = idf.groupBy("repository_id").agg((EPSILON * F.avg("idf")).alias("floor"), F.map_from_entries(mine).alias("idfs"))
+    per = per.select("repository_id", F.transform_values("idfs", lambda _, v: F.when(v < 0, F.col("floor")).otherwise(v)).alias("idfs"))
+    return sizes.join(per, "repository_id", "left").select("repository_id", "average", "content_average", "idfs")
+
+
+def scored_chunks(corpus: DataFrame, wanted: Wanted, dimensions: int = 768) -> DataFrame:
+    """The key of every chunk with one score for each list wanted, score_0, score_1, ...; higher is better.
+
+    All lists are scored in one pass over the texts: a chunk is cut into tokens once, the terms of all questions are counted
+    in it in place, and joined with one row of statistics a repository.  Keyword lists: keywords in the text, twice a BM25
+    without weights for rarity (whose average length counts only content), and thrice the path's weight.  Okapi lists: BM25
+    over path and content plus the path's weight.  Vector lists: the negative distance of hashed embeddings.
     """
-    ks = keywords(question)
-    c = corpus.select(*KEY, "full_text", F.size(tokens(F.col("full_text"))).alias("length"), F.size(tokens(F.col("content"))).alias("n"))
-    average = c.groupBy("repository_id").agg(F.greatest(F.avg("n"), F.lit(1.0)).alias("average"))
-    weight = path_priority(F.col("file_path"), intents(question))
-    rows = c.join(average, "repository_id").select(*KEY, "length", "average", weight.alias("weight"), keyword_score(F.col("file_path"), F.col("full_text"), question).alias("plain"))
-    tf = term_frequencies(corpus, ks)
-    sums = rows.join(tf, KEY, "left").groupBy(*KEY).agg(F.sum(_saturated(F.col("tf"), F.col("length"), F.col("average"))).alias("bm25"), F.first("plain").alias("plain"), F.first("weight").alias("weight"), F.first("length").alias("length"))
-    bm25 = F.when(F.col("length") > 0, F.coalesce("bm25", F.lit(0.0)) + F.col("weight")).otherwise(0.0) if ks else F.lit(0.0)
-    return top(sums.select(*KEY, F.round(F.col("plain") + 2 * bm25, 9).alias("score")), limit)
+    questions = list(dict.fromkeys(q for kind, q in wanted if kind != VECTOR))
+    terms = sorted({w for q in questions for w in [*keywords(q), *_terms(q)]})
+    at = {w: i for i, w in enumerate(terms)}
+    path = F.lower("file_path")
+    c = corpus.select(*KEY, "content", F.lower("full_text").alias("text"), tokens(F.col("full_text")).alias("own"))
+    # tokens stand between two blanks each, so that neighbours don't share one; the counts are loops over words, not an
+    # expression a word, which would make a method too long to be compiled
+    c = c.select(*KEY, "content", "text", F.size("own").alias("length"), (F.size("own") - F.size(tokens(F.col("file_path")))).alias("n"), F.concat(F.lit(" "), F.array_join("own", "  "), F.lit(" ")).alias("line"))
+    vectors = [q for kind, q in wanted if kind == VECTOR]
+    ks = sorted({w for kind, q in wanted if kind == KEYWORD for w in keywords(q)})
+    c = c.select(
+        *KEY, "length", "n", F.transform(_words(ks), lambda w: occurrences(F.col("text"), w)).alias("seen"), _found(F.transform(_words([f" {w} " for w in terms]), lambda w: occurrences(F.col("line"), w))).alias("found"),
+        *([_embedding_distances(F.col("content"), vectors, dimensions).alias("vectors")] if vectors else []),
+    )
+    if questions:
+        c = c.join(_repository_statistics(corpus, terms, any(kind == OKAPI for kind, _ in wanted)), "repository_id")
+
+    def bm25(words: list[str], weight, average: str) -> Column:
+        mine = F.filter("found", lambda x: x["i"].isin([at[w] for w in words])) if len(words) < len(terms) else F.col("found")
+        return F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + weight(x) * _saturated(x["tf"], F.col("length"), F.col(average)))
+
+    scores = []
+    for kind, q in wanted:
+        own, weight = keywords(q), path_priority(F.col("file_path"), intents(q))
+        if kind == VECTOR:
+            score = -F.col("vectors")[vectors.index(q)]
+        elif kind == OKAPI:
+            score = F.round(bm25(_terms(q), lambda x: F.coalesce(F.col("idfs")[F.element_at(_words(terms), x["i"] + 1)], F.lit(0.0)), "average") + weight, 9) if terms else F.round(weight, 9)
+        elif own:
+            seen = F.array(*[F.col("seen")[ks.index(w)] for w in own])
+            score = F.round(_plain(own, seen, path) + weight + 2 * F.when(F.col("length") > 0, bm25(own, lambda x: F.lit(1.0), "content_average") + weight).otherwise(0.0), 9)
+        else:
+            score = F.lit(0.0)
+        scores.append(score)
+    return c.select(*KEY, *[x.alias(f"score_{i}") for i, x in enumerate(scores)])
+
+
+def ranked_lists(corpus: DataFrame, wanted: Wanted, limit: int, dimensions: int = 768) -> DataFrame:
+    """(key, list, distance, rank) of the limit best chunks of every list wanted in each repository, one shuffle for all.
+
+    Keyword and Okapi lists hold scores above 0 only; in a vector list every chunk is a candidate.
+    """
+    scored = scored_chunks(corpus, wanted, dimensions)
+    rows = F.array(*[F.struct(F.lit(i).alias("list"), F.col(f"score_{i}").alias("score"), F.lit(kind == VECTOR).alias("all")) for i, (kind, _) in enumerate(wanted)])
+    long = scored.select(*KEY, F.explode(rows).alias("s")).where("s.score > 0 or s.all").select(*KEY, "s.list", "s.score")
+    order = Window.partitionBy("repository_id", "list").orderBy(F.col("score").desc(), "file_path", "chunk_index")
+    ranked = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.select(*KEY, "list", (-F.col("score")).alias("distance"), "rank")
 
 
-def okapi_chunks(corpus: DataFrame, question: str, limit: int) -> DataFrame:
-    """Ranked list by Okapi BM25 over path and content plus the path's weight.
+def keyword_chunks(corpus: DataFrame, question: str, limit: int) -> DataFrame:
+    """Ranked list by keyword score plus twice the saturation score, a BM25 without weights for rarity."""
+    return ranked_lists(corpus, [(KEYWORD, question)], limit).drop("list")
 
-    Inverse document frequencies below 0 become a quarter of the mean over the repository's vocabulary.
-    Document frequencies are counted for all terms; of the postings only the question's are joined.
-    """
-    ks = keywords(question) or sorted(set(re.findall(TOKEN_PYTHON, question.lower())))
-    c = corpus.select(*KEY, tokens(F.col("full_text")).alias("own"))
-    rows = c.select(*KEY, F.size("own").alias("length"))
-    sizes = rows.groupBy("repository_id").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("average"))
-    df = c.select("repository_id", F.explode(F.array_distinct("own")).alias("term")).groupBy("repository_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(sizes.select("repository_id", "docs"), "repository_id").withColumn("idf", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mine = F.collect_list(F.when(F.col("term").isin(ks), F.struct("term", "idf")))  # at most one entry a question term
-    per = idf.groupBy("repository_id").agg((EPSILON * F.avg("idf")).alias("floor"), mine.alias("mine"))
-    weights = per.select("repository_id", "floor", F.explode("mine").alias("t")).select("repository_id", F.col("t.term").alias("term"), F.when(F.col("t.idf") < 0, F.col("floor")).otherwise(F.col("t.idf")).alias("idf"))
-    hits = term_frequencies(corpus, ks).join(weights, ["repository_id", "term"])
-    sums = rows.join(sizes, "repository_id").join(hits, KEY, "left").groupBy(*KEY).agg(F.sum(F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("average"))).alias("bm25"))
-    score = F.coalesce("bm25", F.lit(0.0)) + path_priority(F.col("file_path"), intents(question))
-    return top(sums.select(*KEY, F.round(score, 9).alias("score")), limit)
+
+def okapi_chunks(corpus: DataFrame, question: str, limit: int) -> DataFrame:
+    """Ranked list by Okapi BM25 over path and content plus the path's weight."""
+    return ranked_lists(corpus, [(OKAPI, question)], limit).drop("list")
 
 
 def anchor_chunks(corpus: DataFrame, question: str, limit: int) -> DataFrame:
@@ -113,12 +161,15 @@ def anchor_chunks(corpus: DataFrame, question: str, limit: int) -> DataFrame:
     return found.select(*KEY, (F.lit(-10000.0) + i).alias("distance"), "rank")
 
 
-def fuse(lists: list[DataFrame], limit: int) -> DataFrame:
-    """Reciprocal-rank fusion: the sum of 1 / (60 + rank) over the lists; ties go to the list and rank a chunk is first met at."""
-    tagged = [x.select(*KEY, "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)]
+def fuse(lists: list[DataFrame] | DataFrame, limit: int) -> DataFrame:
+    """Reciprocal-rank fusion: the sum of 1 / (60 + rank) over the lists; ties go to the list and rank a chunk is first met at.
+
+    lists: ranked lists, or one table of them with a column list.
+    """
+    both = lists if isinstance(lists, DataFrame) else reduce(DataFrame.unionByName, [x.select(*KEY, "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)])
     # whole billionths add up exactly, whatever the order
     unit = F.round(F.lit(1e12) / (RRF_K + F.col("rank"))).cast("bigint")
-    fused = reduce(DataFrame.unionByName, tagged).groupBy(*KEY).agg(F.sum(unit).alias("points"), F.min(F.struct("list", "rank")).alias("first"))
+    fused = both.groupBy(*KEY).agg(F.sum(unit).alias("points"), F.min(F.struct("list", "rank")).alias("first"))
     order = Window.partitionBy("repository_id").orderBy(F.col("points").desc(), "first")
     ranked = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select(*KEY, (-F.col("points") / F.lit(1e12)).alias("distance"), "rank")
@@ -237,14 +288,13 @@ def hash_embedding(text: Column, dimensions: int = 768) -> Column:
     return run(text)
 
 
-def _embedding_distance(text: Column, question: str, dimensions: int) -> Column:
-    """Squared distance of a text's hashed embedding to the question's, without building the vectors: for unit vectors
+def _embedding_distances(text: Column, questions: list[str], dimensions: int) -> Column:
+    """Squared distances of a text's hashed embedding to the questions', without building the vectors: for unit vectors
     it is 2 - 2 * dot, and the dot product only needs the places where the question isn't 0."""
-    target = embed(question, dimensions)
+    targets = [embed(q, dimensions) for q in questions]
 
-    @F.pandas_udf(T.DoubleType())
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(texts):
-        import numpy as np
         import pandas as pd
 
         kept: dict[str, tuple[int, float]] = {}
@@ -259,18 +309,16 @@ def _embedding_distance(text: Column, question: str, dimensions: int) -> Column:
                     at = kept[w] = (int.from_bytes(d[:4], "little") % dimensions, 1.0 if d[4] % 2 == 0 else -1.0)
                 places[at[0]] = places.get(at[0], 0.0) + at[1]
             norm = sum(x * x for x in places.values()) ** 0.5
-            dot = sum(x * target[i] for i, x in places.items()) / norm if norm else 0.0
-            out.append((1.0 if norm else 0.0) + (1.0 if any(target) else 0.0) - 2 * dot)
-        return pd.Series(np.round(out, 9))
+            dots = [sum(x * target[i] for i, x in places.items()) / norm if norm else 0.0 for target in targets]
+            out.append([round((1.0 if norm else 0.0) + (1.0 if any(target) else 0.0) - 2 * dot, 9) for target, dot in zip(targets, dots, strict=True)])
+        return pd.Series(out)
 
     return run(text)
 
 
 def vector_chunks(corpus: DataFrame, question: str, limit: int, dimensions: int = 768) -> DataFrame:
     """Ranked list by the distance of hashed embeddings; every chunk is a candidate."""
-    scored = corpus.select(*KEY, _embedding_distance(F.col("content"), question, dimensions).alias("distance"))
-    order = Window.partitionBy("repository_id").orderBy("distance", "file_path", "chunk_index")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked_lists(corpus, [(VECTOR, question)], limit, dimensions).drop("list")
 
 
 # -- pipelines ----------------------------------------------------------------------
@@ -285,9 +333,10 @@ def hybrid(corpus: DataFrame, questions: list[str], k: int = 10, candidates: int
     if not qs:
         return anchor_chunks(corpus, "", k)
     candidates = max(candidates, k)
-    okapi = fuse([okapi_chunks(corpus, q, candidates) for q in qs], candidates)
-    vector = fuse([vector_chunks(corpus, q, candidates) for q in qs], candidates)
-    fused = fuse([keyword_chunks(corpus, qs[0], candidates), okapi, vector], candidates)
+    n = len(qs)
+    lists = ranked_lists(corpus, [(KEYWORD, qs[0]), *[(OKAPI, q) for q in qs], *[(VECTOR, q) for q in qs]], candidates)
+    okapi, vector = fuse(lists.where(F.col("list").between(1, n)), candidates), fuse(lists.where(F.col("list") > n), candidates)
+    fused = fuse([lists.where("list = 0"), okapi, vector], candidates)
     selected = append(anchor_chunks(corpus, qs[0], k), fused, candidates)
     return neighbours(selected, corpus, window, candidates)
 
@@ -298,7 +347,7 @@ def hybrid_online(corpus: DataFrame, questions: list[str], k: int = 10, candidat
     if not qs:
         return anchor_chunks(corpus, "", k)
     candidates = max(candidates, k)
-    lists = [keyword_chunks(corpus, q, candidates) for q in qs] + [okapi_chunks(corpus, q, candidates) for q in qs]
+    lists = ranked_lists(corpus, [*[(KEYWORD, q) for q in qs], *[(OKAPI, q) for q in qs]], candidates)
     selected = append(anchor_chunks(corpus, qs[0], k), fuse(lists, candidates), candidates)
     return neighbours(selected, corpus, window, candidates)
 

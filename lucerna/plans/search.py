@@ -38,7 +38,7 @@ def doc_length_stats(s, d):
 
 def fused(s, d):
     c = _corpus(s, d)
-    return _show(R.fuse([R.keyword_chunks(c, QUESTION, 30), R.okapi_chunks(c, QUESTION, 30)], 30))
+    return _show(R.fuse(R.ranked_lists(c, [(R.KEYWORD, QUESTION), (R.OKAPI, QUESTION)], 30), 30))
 
 
 def neighbour_expand(s, d):
