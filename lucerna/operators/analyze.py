@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import included
 from ..functions.languages import extension
 from ..functions.text import environment_names, join_route, lines
+from ..sources.store import written
 from .corpus import unique_files
 
 REPO, FILE = ["repository_id"], ["repository_id", "file_path"]
@@ -220,7 +221,10 @@ def _read_tree(text: str) -> list[tuple]:
 
 
 def python_relations(files: DataFrame) -> DataFrame:
-    """Definitions, imports and calls of every Python file, one row each; a file that doesn't parse has none."""
+    """Definitions, imports and calls of every Python file, one row each; a file that doesn't parse has none.
+
+    What several resolutions need is written once, so that each file is parsed once.
+    """
     src = source(files).where(extension(F.col("file_path")) == ".py")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +270,7 @@ def python_imports(files: DataFrame, relations: DataFrame | None = None) -> Data
 
     The level of a relative import shows in target and is ignored in resolution.
     """
-    rel = python_relations(files) if relations is None else relations
+    rel = written(python_relations(files)) if relations is None else relations
     one = rel.where("kind = 'import'").select(*FILE, F.col("name").alias("module"), F.col("name").alias("target"), F.lit("python import").alias("import_type"), "line")
     many = rel.where("kind = 'from' and name <> ''").select(*FILE, F.col("name").alias("module"), F.concat(F.repeat(F.lit("."), F.col("level")), "name").alias("target"), F.lit("python from-import").alias("import_type"), "line")
     out = resolve_modules(one.unionByName(many).distinct(), module_index(files))
@@ -304,21 +308,21 @@ def script_imports(files: DataFrame) -> DataFrame:
     return out.select("repository_id", F.col("file_path").alias("source_file"), "target", F.coalesce("hit.candidate", "target").alias("resolved_target"), "import_type", "line").distinct()
 
 
-def module_dependencies(files: DataFrame, limit: int | None = 240) -> DataFrame:
+def module_dependencies(files: DataFrame, limit: int | None = 240, relations: DataFrame | None = None) -> DataFrame:
     """Imports of both language families, distinct by file, target, kind and line."""
-    both = python_imports(files).unionByName(script_imports(files))
+    both = python_imports(files, relations).unionByName(script_imports(files))
     one = both.groupBy("repository_id", "source_file", "target", "import_type", "line").agg(F.min("resolved_target").alias("resolved_target"))
     return capped(one, limit, "source_file", "line", "target", "import_type")
 
 
-def call_graph(files: DataFrame, limit: int | None = 240) -> DataFrame:
+def call_graph(files: DataFrame, limit: int | None = 240, relations: DataFrame | None = None) -> DataFrame:
     """(repository_id, caller_file, caller_symbol, callee_file, callee_symbol, call_type, line) of Python calls that resolve safely.
 
     A name resolves to a definition of its own file, else to an imported symbol's; self and cls to a method of the
     class; another base to an imported module's function.  Each is an equality join; a call that two ways reach
     keeps the first.
     """
-    rel = python_relations(files)
+    rel = written(python_relations(files)) if relations is None else relations
     defs = rel.where("kind = 'def'").select("repository_id", F.col("file_path").alias("callee_file"), F.col("name").alias("callee_symbol")).distinct()
     calls = rel.where("kind = 'call'").select(*FILE, "line", "scope", "owner", "name", "attribute").distinct()
     index = module_index(files).select("repository_id", "module", F.col("target").alias("callee_file"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import valid_repository_id
+from ..sources.store import numbered
 from .corpus import KEY, unique_chunks, unique_files
 
 
@@ -100,7 +102,12 @@ def catalog(repo_catalog: DataFrame, manifest: DataFrame, chunks: DataFrame) ->
         "c.created_at", "c.updated_at", "c.github_url", "c.default_branch", source.alias("source"), blank("source_name").alias("source_name"), kind.alias("source_type"),
         F.coalesce(blank("display_name"), blank("source_name"), name_in_url).alias("display_name"), F.coalesce(blank("upload_name"), F.when(kind == "zip_upload", blank("source_name"))).alias("upload_name"),
     )
-    return out.withColumn("newest", F.row_number().over(Window.orderBy(F.coalesce("updated_at", F.lit(0)).desc(), F.col("repository_id").desc())).cast("bigint"))
+    return numbered(out, [F.coalesce("updated_at", F.lit(0)).desc(), F.col("repository_id").desc()], "newest")
+
+
+def catalog_entry(entries: DataFrame, repository_id: str) -> DataFrame:
+    """The catalog's row of one repository; none for an unknown or invalid id."""
+    return entries.where((F.col("repository_id") == repository_id) & valid_repository_id(F.col("repository_id")))
 
 
 def audit_time(logged_at: Column) -> Column:
@@ -122,10 +129,19 @@ def audit_summary(audit_log: DataFrame, repo_catalog: DataFrame) -> DataFrame:
     return e.groupBy("event", "repository_id").agg(F.count(F.lit(1)).alias("events"), F.sum((F.coalesce("outcome", F.lit("")) != "success").cast("bigint")).alias("other_outcomes"), F.count_distinct("actor_id").alias("actors"))
 
 
-def requests_in_window(events: DataFrame, key: str, time: str, order: str, seconds: int = 60) -> DataFrame:
-    """Per event how many events of its key lie in the seconds up to and including it."""
-    w = Window.partitionBy(key).orderBy(F.col(time).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(order, key, time, F.count(F.lit(1)).over(w).alias("requests"))
+def requests_in_window(events: DataFrame, key: str, time: str, order: str, seconds: int = 60, block: int = 86_400) -> DataFrame:
+    """Per event how many events of its key lie in the seconds up to and including it.
+
+    Time is cut into blocks no shorter than the window; an event counts in its own block and, as one that is only looked
+    at, in the next if it lies within its reach.  A busy key is so spread over as many tasks as it has blocks.
+    """
+    at = F.col(time).cast("timestamp").cast("double")
+    size = max(block, seconds)
+    e = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(order, key, time, at.alias("_at"), F.floor(at / size).alias("_own"))
+    reach = (F.col("_own") + 1) * size - F.col("_at") <= seconds
+    e = e.withColumn("_block", F.explode(F.when(reach, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(key, "_block").orderBy("_at").rangeBetween(-seconds, 0)
+    return e.withColumn("requests", F.count(F.lit(1)).over(w)).where("_block = _own").select(order, key, time, "requests")
 
 
 def citations(chunks: DataFrame, repo_catalog: DataFrame) -> DataFrame:

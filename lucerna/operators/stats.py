@@ -75,7 +75,7 @@ def entry_points(files: DataFrame) -> DataFrame:
     return listed(files).where(last.isin(*ENTRY_NAMES) | F.col("file_path").isin(*ENTRY_PATHS)).select("repository_id", "file_path").distinct()
 
 
-def within_budget(files: DataFrame, max_files: int = 5000, max_bytes: int = 80 << 20, max_file_bytes: int = 1 << 20) -> DataFrame:
+def within_budget(files: DataFrame, max_files: int = 5000, max_bytes: int = 80_000_000, max_file_bytes: int = 1_000_000) -> DataFrame:
     """The files a scan takes, in path order: at most max_files, skipping each that would exceed the remaining bytes.
 
     Skipping and going on isn't a running sum.  Where a repository's files fit as a whole -- nearly always --

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analyze as A
 from ..operators import stats as S
+from ..sources.store import written
 
 # Categories in the order they are shown.
 CATEGORIES = ["backend", "frontend", "database", "devops", "ai"]
@@ -29,6 +30,7 @@ def _section(rows: DataFrame, line: Column, order: list[str], name: str, limit:
 def sections(files: DataFrame) -> DataFrame:
     """One row a repository with the text of every section; null where an analysis found nothing."""
     counts = S.repository_counts(files)
+    relations = written(A.python_relations(files))
     entry = S.entry_points(files).groupBy("repository_id").agg(F.array_sort(F.collect_set("file_path")).alias("entries"))
     stack = A.technology_stack(files)
     labels = stack.groupBy("repository_id", "category").agg(F.array_sort(F.collect_set("label")).alias("labels"))
@@ -48,9 +50,9 @@ def sections(files: DataFrame) -> DataFrame:
     suffix = F.when(F.size(extras) > 0, F.concat(F.lit(" ["), F.array_join(extras, "; "), F.lit("]"))).otherwise("")
     models = _section(A.database_models(files), F.concat(dash, "technology", F.lit(": "), "detail", suffix, place("file_path", "line")), ["file_path", "line", "detail"], "models")
     starts = _section(A.entrypoint_findings(files), F.concat(dash, "kind", F.lit(": "), code("file_path"), F.lit(" - "), "reason"), ["file_path", "kind"], "entrypoints")
-    deps = _section(A.module_dependencies(files), F.concat(dash, code("source_file"), F.lit(" -> "), code("resolved_target"), F.lit(" via "), "import_type", place("source_file", "line")), ["source_file", "line", "target"], "dependencies", 80)
+    deps = _section(A.module_dependencies(files, relations=relations), F.concat(dash, code("source_file"), F.lit(" -> "), code("resolved_target"), F.lit(" via "), "import_type", place("source_file", "line")), ["source_file", "line", "target"], "dependencies", 80)
     calls = _section(
-        A.call_graph(files), F.concat(dash, F.lit("`"), "caller_file", F.lit(":"), "caller_symbol", F.lit("` -> `"), "callee_file", F.lit(":"), "callee_symbol", F.lit("` via "), "call_type", place("caller_file", "line")),
+        A.call_graph(files, relations=relations), F.concat(dash, F.lit("`"), "caller_file", F.lit(":"), "caller_symbol", F.lit("` -> `"), "callee_file", F.lit(":"), "callee_symbol", F.lit("` via "), "call_type", place("caller_file", "line")),
         ["caller_file", "line", "caller_symbol", "callee_symbol"], "calls", 80,
     )
     settings = _section(A.environment_variables(files), F.concat(dash, code("variable")), ["variable"], "settings")

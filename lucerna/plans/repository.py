@@ -106,12 +106,15 @@ def queries():
         "entrypoint_findings": _files(A.entrypoint_findings, limit=None),
         "script_imports": _imports,
         "python_imports": _files(A.python_imports),
-        "module_dependencies": _files(A.module_dependencies),
-        "call_graph": _files(A.call_graph),
+        "module_dependencies": _files(A.module_dependencies, limit=None),
+        "module_dependencies_shown": _files(A.module_dependencies),
+        "call_graph": _files(A.call_graph, limit=None),
+        "call_graph_shown": _files(A.call_graph),
         "technology_stack": _files(A.technology_stack),
         "startup_hints": _files(A.startup_hints),
         "deployment_methods": _files(A.deployment_methods),
-        "environment_variables": _files(A.environment_variables),
+        "environment_variables": _files(A.environment_variables, limit=None),
+        "environment_variables_shown": _files(A.environment_variables),
     }
 
 
@@ -246,5 +249,5 @@ UNION SELECT repository_id, file_path, 'configuration', 'recognized configuratio
         "deployment_methods": f"WITH {f} SELECT DISTINCT repository_id, CASE {_case('file_path', A.DEPLOYMENT)} ELSE 'GitHub Actions' END AS method FROM f WHERE {_in('file_path', A.DEPLOYMENT)} OR file_path LIKE '.github/workflows/%'",
         "environment_variables": f"""WITH {f}, r AS (SELECT repository_id, content FROM f WHERE {_in("file_path", [".env.example", "README.md", "docker-compose.yml", "docker-compose.yaml"])}),
 v AS (SELECT repository_id, unnest(regexp_extract_all(content, '(?m)^\\s*([A-Z][A-Z0-9_]{{2,}})\\s*=', 1)) AS variable FROM r UNION SELECT repository_id, variable FROM (SELECT repository_id, unnest(regexp_extract_all(content, '\\b[A-Z][A-Z0-9_]{{2,}}\\b')) AS variable FROM r) WHERE regexp_matches(variable, '{TX.SETTING_MARKS}'))
-SELECT repository_id, variable FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY variable) AS n FROM v) WHERE n <= 80""",
+SELECT repository_id, variable FROM v""",
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,9 +59,31 @@ def written(table: DataFrame) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def numbered(table: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """The table with row numbers from 1 in an order, without one task that sees all rows.
+
+    Rows are spread by ranges of the order and numbered within each; the numbers of rows of the ranges before, one row a
+    range, are added.  The ranges are written first, since a range partition computed twice may be cut in other places.
+    """
+    ranges = written(table.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(before, "_range").withColumn(name, here + F.col("_before")).drop("_range", "_before")
+
+
+#: Into how many tasks one repository's chunks are spread when they are written.
+SPREAD = 64
+
+
+def spread(chunks: DataFrame) -> DataFrame:
+    """Chunks laid out for a table partitioned by repository: few files for a small repository, up to SPREAD tasks for a large one."""
+    return chunks.repartition(F.col("repository_id"), F.pmod(F.xxhash64("file_path"), F.lit(SPREAD)))
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Writes chunks partitioned by repository, replacing only the partitions of the repositories they belong to."""
-    chunks.repartition("repository_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
+    spread(chunks).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(path)
 
 
 def drop_repositories(spark: SparkSession, path: str, repository_ids: list[str]) -> int:

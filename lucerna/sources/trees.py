@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 from ..functions.filters import included
 from ..functions.languages import extension
 from ..operators.stats import folders
+from .store import numbered
 
 # Encodings that are tried in this order; limits of single files and of office containers.
 ENCODINGS = ["utf-8", "utf-8-sig", "gb18030", "cp936", "cp1252", "latin-1"]
-MAX_FILE_BYTES = 1 << 20
+MAX_FILE_BYTES = 1_000_000
 OFFICE_FILES, OFFICE_BYTES, OFFICE_RATIO, OFFICE_ROWS, OFFICE_CELLS, OFFICE_SHEETS, OFFICE_CHARS = 2000, 50 << 20, 100, 100_000, 1_000_000, 100, 5_000_000
 
 
@@ -163,51 +164,65 @@ def scan_tree(spark: SparkSession, root: str, repository_id: str) -> DataFrame:
 def read_tree(spark: SparkSession, root: str, repository_id: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """files(repository_id, file_path, content, size_bytes, ord) of a folder: ignored, large, binary and blank files are left out.
 
-    The filter on length is pushed to the listing, so large files are never opened; ord follows the path.
+    The filter on length is pushed to the listing, so large files are never opened; ord follows the path, in ranges
+    of paths, so that no task gets the whole folder.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_file_bytes)
     f = raw.select(relative_path(F.col("path"), root).alias("file_path"), F.col("length").alias("size_bytes"), F.col("content").alias("raw"))
     f = f.where(F.col("file_path").isNotNull() & included(F.col("file_path")))
     t = f.select(F.lit(repository_id).alias("repository_id"), "file_path", text_of(F.col("raw"), F.col("file_path")).alias("content"), "size_bytes").where("content is not null")
-    return t.withColumn("ord", F.row_number().over(Window.partitionBy("repository_id").orderBy("file_path")))
+    return numbered(t, ["file_path"], "ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 # -- archives -----------------------------------------------------------------
 
 # Names that some systems keep for devices, and the limits of an archive.
 DEVICES = ["CON", "PRN", "AUX", "NUL", *[f"COM{i}" for i in range(1, 10)], *[f"LPT{i}" for i in range(1, 10)]]
-ARCHIVE_FILES, ARCHIVE_FOLDERS, ARCHIVE_BYTES, ARCHIVE_RATIO, ARCHIVE_DEPTH, ARCHIVE_PATH = 5000, 2000, 200 << 20, 200, 32, 1024
-ENTRY_SCHEMA = "archive string, name string, is_dir boolean, file_size bigint, compress_size bigint, flag_bits int, compress_type int, external_attr bigint"
+ARCHIVE_FILES, ARCHIVE_FOLDERS, ARCHIVE_BYTES, ARCHIVE_RATIO, ARCHIVE_DEPTH, ARCHIVE_PATH, DIRECTORY_BYTES = 5000, 1000, 80_000_000, 100, 24, 512, 5_000_000
+ENTRY_SCHEMA = "archive string, name string, is_dir boolean, file_size bigint, compress_size bigint, flag_bits int, compress_type int, external_attr bigint, problem string"
+
+
+_END = struct.Struct("<4s4H2LH")
 
 
 def preflight(raw: bytes) -> str | None:
-    """None if the end record of an archive is sound and whole, else the reason why it isn't."""
-    at = raw.rfind(b"PK\x05\x06", max(0, len(raw) - 65557))
-    if at < 0 or len(raw) < at + 22:
+    """None if the end record of an archive is sound and whole, else the reason why it isn't.
+
+    The end record is the last mark whose comment reaches exactly to the end of the file; marks inside a comment don't
+    fit.  Nothing may lie between the central directory and it, and archives over several disks or of 64-bit sizes aren't read.
+    """
+    tail = max(0, len(raw) - _END.size - 0xFFFF)
+    records = [(at, _END.unpack_from(raw, at)) for at in (tail + m.start() for m in re.finditer(b"PK\x05\x06", raw[tail:])) if at + _END.size <= len(raw)]
+    whole = [(at, r) for at, r in records if at + _END.size + r[7] == len(raw)]
+    if not whole:
         return "invalid_zip"
-    disk, start_disk, here, total, size, offset, comment = struct.unpack("<4H2LH", raw[at + 4 : at + 22])
-    if 0xFFFF in (disk, here, total) or 0xFFFFFFFF in (size, offset) or raw[max(0, at - 20) : at].startswith(b"PK\x06\x07"):
-        return "central_directory_limit_exceeded"
-    if disk or start_disk or here != total or at + 22 + comment != len(raw) or offset + size > at:
+    at, (_, disk, first_disk, here, total, size, offset, _) = whole[-1]
+    if (disk, first_disk) != (0, 0) or here != total or total == 0xFFFF or 0xFFFFFFFF in (size, offset):
         return "invalid_zip"
-    return None
+    if total > ARCHIVE_FILES + ARCHIVE_FOLDERS:
+        return "file_limit_exceeded"
+    if size > DIRECTORY_BYTES:
+        return "central_directory_limit_exceeded"
+    return None if offset + size == at else "invalid_zip"
 
 
 def archive_entries(archives: DataFrame) -> DataFrame:
-    """One row an entry of archives(archive string, raw binary); an unreadable archive gives one row with a null name."""
+    """One row an entry of archives(archive string, raw binary); an unreadable archive gives one row with a null name and its problem."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [x.split()[0] for x in ENTRY_SCHEMA.split(", ")]
         for b in batches:
             rows = []
             for name, raw in zip(b["archive"], b["raw"], strict=True):
+                problem = "invalid_zip" if raw is None else preflight(bytes(raw))
+                if problem:
+                    rows.append((name, *[None] * 7, problem))
+                    continue
                 try:
-                    if raw is None or preflight(bytes(raw)):
-                        raise zipfile.BadZipFile
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                        rows += [(name, unicodedata.normalize("NFC", e.orig_filename), e.is_dir(), e.file_size, e.compress_size, e.flag_bits, e.compress_type, e.external_attr) for e in z.infolist()]
+                        rows += [(name, unicodedata.normalize("NFC", e.orig_filename), e.is_dir(), e.file_size, e.compress_size, e.flag_bits, e.compress_type, e.external_attr, None) for e in z.infolist()]
                 except (zipfile.BadZipFile, zipfile.LargeZipFile, RuntimeError, OSError):
-                    rows.append((name, None, None, None, None, None, None, None))
+                    rows.append((name, *[None] * 7, "invalid_zip"))
             yield pd.DataFrame(rows, columns=cols).astype({"file_size": "Int64", "compress_size": "Int64", "flag_bits": "Int32", "compress_type": "Int32", "external_attr": "Int64", "is_dir": "boolean"})
 
     return archives.select("archive", "raw").mapInPandas(run, ENTRY_SCHEMA)
@@ -235,7 +250,7 @@ def inspect_archives(entries: DataFrame) -> DataFrame:
     Names that differ in case only, and files that are folders elsewhere, are found by grouping the entries'
     lower-case paths with the folders above them.
     """
-    e = entries.withColumn("error", entry_error(F.col("name"), F.col("is_dir"), F.col("flag_bits"), F.col("compress_type"), F.col("external_attr")))
+    e = entries.withColumn("error", F.coalesce("problem", entry_error(F.col("name"), F.col("is_dir"), F.col("flag_bits"), F.col("compress_type"), F.col("external_attr"))))
     e = e.withColumn("folder", F.col("is_dir") | F.col("name").endswith("/")).withColumn("path", F.lower(F.regexp_replace("name", "/$", "")))
     above = e.where("path is not null").select("archive", F.explode(folders(F.col("path"))).alias("path"), F.lit(False).alias("entry"), F.lit(True).alias("folder"))
     paths = e.where("path is not null").select("archive", "path", F.lit(True).alias("entry"), "folder").unionByName(above)
@@ -287,18 +302,41 @@ def read_archives(archives: DataFrame) -> DataFrame:
 # -- remote listings and manifests --------------------------------------------
 
 
+_LISTING = "tree array<struct<type:string,path:string,size:bigint,sha:string>>, truncated boolean"
+
+
+def remote_problems(listings: DataFrame) -> DataFrame:
+    """(repository_id, error) of the listings(repository_id, json) that can't be used: 'truncated' by the sender, or 'invalid'."""
+    j = F.from_json("json", _LISTING)
+    error = F.when(j["truncated"], "truncated").when(j["tree"].isNull(), "invalid")
+    return listings.select("repository_id", error.alias("error")).where("error is not null")
+
+
 def remote_tree(listings: DataFrame) -> DataFrame:
     """(repository_id, file_path, size_bytes, sha) of the blobs in listings(repository_id, json) that are read, in path order by ord.
 
-    A listing that says it is truncated, or doesn't parse, gives no rows.
+    Listings that remote_problems() names give no rows. A listing is one answer of a server, which bounds a repository's rows.
     """
-    schema = "tree array<struct<type:string,path:string,size:bigint,sha:string>>, truncated boolean"
-    t = listings.select("repository_id", F.from_json("json", schema).alias("j")).where(~F.coalesce(F.col("j.truncated"), F.lit(False)))
+    t = listings.select("repository_id", F.from_json("json", _LISTING).alias("j")).where(~F.coalesce(F.col("j.truncated"), F.lit(False)))
     b = t.select("repository_id", F.explode("j.tree").alias("e")).where("e.type = 'blob'").select("repository_id", F.col("e.path").alias("file_path"), F.col("e.size").alias("size_bytes"), F.col("e.sha").alias("sha"))
     b = b.where(included(F.col("file_path")) & (F.coalesce("size_bytes", F.lit(0)) <= MAX_FILE_BYTES))
     return b.withColumn("ord", F.row_number().over(Window.partitionBy("repository_id").orderBy("file_path")))
 
 
+def remote_files(tree: DataFrame, blobs: DataFrame) -> DataFrame:
+    """files(repository_id, file_path, content, size_bytes, ord) of a remote_tree() and the answers blobs(repository_id, sha, json) for its blobs.
+
+    An answer holds base64 text in lines; answers in another encoding, that don't decode, that are larger than
+    a file may be, or hold binary or blank content leave their file out. Of several answers for a blob the greatest counts.
+    """
+    got = F.from_json("json", "content string, encoding string")
+    raw = F.try_to_binary(F.regexp_replace(got["content"], r"\s", ""), F.lit("base64"))
+    b = blobs.where(got["encoding"] == "base64").select("repository_id", "sha", raw.alias("raw")).where(F.octet_length("raw") <= MAX_FILE_BYTES)
+    b = b.groupBy("repository_id", "sha").agg(F.max("raw").alias("raw"))
+    t = tree.join(b, ["repository_id", "sha"])
+    return t.select("repository_id", "file_path", text_of(F.col("raw"), F.col("file_path")).alias("content"), "size_bytes", "ord").where("content is not null")
+
+
 def page_links(pages: DataFrame, owner: str, name: str) -> DataFrame:
     """(page, kind, path) of the links to files ('blob') and folders ('tree') of a repository in pages(page, html)."""
     pattern = rf"href=\"/{re.escape(owner)}/{re.escape(name)}/(blob|tree)/[^/\"]+/([^\"#?]+)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.chunkers import chunk_files
 from ..operators.maintain import apply_changes, build_manifest, diff_manifest
+from ..sources.store import spread
 
 FILES = "repository_id string, file_path string, content string, size_bytes bigint, ord int"
 
@@ -29,13 +30,13 @@ def update_index(spark: SparkSession, files: DataFrame, index: str, version: int
     if last is None:
         none = build_manifest(current).where("false")
         changes = diff_manifest(build_manifest(current), none)
-        current.repartition("repository_id").write.mode("overwrite").partitionBy("repository_id").parquet(f"{index}/v{version}")
+        spread(current).write.mode("overwrite").partitionBy("repository_id").parquet(f"{index}/v{version}")
         return changes
     old = spark.read.option("basePath", f"{index}/v{last}").parquet(f"{index}/v{last}").withColumn("repository_id", F.col("repository_id").cast("string"))
     mine, rest = old.join(repos, "repository_id", "left_semi"), old.join(repos, "repository_id", "left_anti")
     changes = diff_manifest(build_manifest(current), build_manifest(mine))
     new = rest.unionByName(apply_changes(mine, current, changes))
-    new.repartition("repository_id").write.mode("overwrite").partitionBy("repository_id").parquet(f"{index}/v{version}")
+    spread(new).write.mode("overwrite").partitionBy("repository_id").parquet(f"{index}/v{version}")
     return changes
 
 

@@ -1,6 +1,7 @@
 """Filters, text functions, manifests, statistics and analyses on small repositories."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,20 @@ def test_manifest_and_changes(spark, chunks_of):
     assert {r.change for r in M.diff_manifest(m, m).collect()} == {"unchanged"} and {r.change for r in M.diff_manifest(m, m.limit(0)).collect()} == {"added"}
 
 
+def test_requests_in_window(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot", "hot", "b"]), rng.randrange(3000) / 2) for i in range(700)] + [(900, None, 1.0), (901, "b", None), (902, "hot", 600.0), (903, "hot", 540.0)]
+    df = spark.createDataFrame(rows, "id bigint, who string, t double").withColumn("at", F.timestamp_seconds("t"))
+    want = {i: sum(1 for _, v, u in rows if v == w and u is not None and t - 60 <= u <= t) for i, w, t in rows if w and t is not None}
+    for block in (1, 100, 86_400):
+        assert {r.id: r.requests for r in M.requests_in_window(df, "who", "at", "id", 60, block).collect()} == want
+
+
+def test_catalog_entry(spark):
+    c = spark.createDataFrame([("a", 1), ("bad id!", 2)], "repository_id string, n int")
+    assert [r.n for r in M.catalog_entry(c, "a").collect()] == [1] and M.catalog_entry(c, "bad id!").count() == M.catalog_entry(c, "x").count() == 0
+
+
 def test_report_cache(spark, files_of):
     f = files_of({"a.py": "x", "b.py": "yy"})
     s = M.tree_signature(f)

@@ -1,6 +1,7 @@
 """Chunkers, folders, archives, manifests, limits and streams."""
 
 import ast
+import base64
 import io
 import json
 import random
@@ -113,6 +114,30 @@ def test_archives(spark):
     assert {r.file_path: r.content for r in files} == {"src/a.py": "x = 1", "README.md": "# Hi", "doc.docx": "Hello\na | b", "t.xlsx": "# Sheet: One\nkey | 5\nx"} and len({r.repository_id for r in files}) == 1
 
 
+def test_preflight():
+    plain = _zip([("a.py", "x = 1")])
+    end = plain.rfind(b"PK\x05\x06")
+    with_comment = lambda c: plain[: end + 20] + len(c).to_bytes(2, "little") + c
+    patched = lambda at, value, size: plain[: end + at] + value.to_bytes(size, "little") + plain[end + at + size :]
+    assert TR.preflight(plain) is None and TR.preflight(with_comment(b"hello")) is None
+    assert TR.preflight(with_comment(b"say PK\x05\x06 and more text that is long enough")) is None  # a mark inside the comment
+    assert TR.preflight(plain + b"x") == TR.preflight(b"") == TR.preflight(plain[:-1]) == TR.preflight(patched(4, 1, 2)) == TR.preflight(patched(8, 2, 2)) == "invalid_zip"
+    assert TR.preflight(patched(16, 1, 4)) == "invalid_zip"  # a gap before the end record
+    many = plain[: end + 8] + (7000).to_bytes(2, "little") * 2 + plain[end + 12 :]
+    assert TR.preflight(many) == "file_limit_exceeded" and TR.preflight(patched(12, 6_000_000, 4)) == "central_directory_limit_exceeded"
+    assert TR.preflight(plain[: end + 8] + b"\xff" * 4 + plain[end + 12 :]) == "invalid_zip"
+
+
+def test_remote_files(spark):
+    tree = {"tree": [{"type": "blob", "path": p, "size": 5, "sha": s} for p, s in (("a.py", "1"), ("b.py", "2"), ("c.py", "3"), ("d.py", "4"), ("e.py", "5"))]}
+    listings = spark.createDataFrame([("r", json.dumps(tree)), ("cut", json.dumps(tree | {"truncated": True})), ("bad", "{"), ("none", None)], "repository_id string, json string")
+    assert {(r.repository_id, r.error) for r in TR.remote_problems(listings).collect()} == {("cut", "truncated"), ("bad", "invalid"), ("none", "invalid")}
+    b64 = lambda raw: json.dumps({"content": base64.encodebytes(raw).decode(), "encoding": "base64"})
+    blobs = [("r", "1", b64("x = 'é'".encode() * 30)), ("r", "1", b64("x = 'é'".encode() * 30)), ("r", "2", json.dumps({"content": "x", "encoding": "utf-8"})), ("r", "3", b64(b"\0\1")), ("r", "4", json.dumps({"content": "***", "encoding": "base64"})), ("r", "9", b64(b"x")), ("q", "5", b64(b"x"))]
+    got = TR.remote_files(TR.remote_tree(listings), spark.createDataFrame(blobs, "repository_id string, sha string, json string")).collect()
+    assert [(r.repository_id, r.file_path, r.content, r.ord) for r in got] == [("r", "a.py", "x = 'é'" * 30, 1)]
+
+
 @pytest.mark.parametrize(("name", "want"), [("a%20b.zip", "a b.zip"), ("x.ZIP", "x.ZIP"), ("..%2Fx.zip", None), (".zip", None), ("a.tar", None), ("a%00.zip", None), ("%FF.zip", None), ("a:b.zip", None), ("a+b.zip", "a+b.zip"), ("", None), (None, None)])
 def test_archive_names(spark, name, want):
     assert spark.createDataFrame([(name,)], "n string").select(TR.archive_name(F.col("n")).alias("x")).first().x == want

@@ -47,3 +47,19 @@ def test_written_tables_are_computed_once(spark):
     t = store.written(spark.range(10).mapInPandas(count, "id bigint"))
     assert t.count() == 10 and t.join(t, "id").count() == 10 and runs.value == 10
     assert store.written(t.limit(0)).count() == 0
+
+
+def test_numbered(spark):
+    t = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"), (F.col("id") % 3).alias("y")).repartition(5)
+    got = store.numbered(t, [F.col("y").desc(), F.col("x")], "n").collect()
+    assert [(r.y, r.x) for r in sorted(got, key=lambda r: r.n)] == sorted(((r.y, r.x) for r in got), key=lambda v: (-v[0], v[1])) and sorted(r.n for r in got) == list(range(1, 501))
+    assert store.numbered(t.limit(0), ["x"], "n").count() == 0
+
+
+def test_large_repositories_are_written_by_several_tasks(spark, chunks_of, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_chunks(chunks_of([{"repo": "a", "path": f"p{i}", "content": "x"} for i in range(300)] + [{"repo": "b", "path": "q"}]), str(tmp_path / "c"))
+        assert len(list((tmp_path / "c" / "repository_id=a").glob("*.parquet"))) > 1 and spark.read.parquet(str(tmp_path / "c")).count() == 301
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
