@@ -188,6 +188,32 @@ def _url() -> str:
     )
 
 
+_TREE = """d AS (SELECT DISTINCT repository_id, unnest(list_transform(generate_series(1, len(ps)), lambda i: array_to_string(ps[1:i], '/'))) AS entry, true AS folder
+  FROM (SELECT repository_id, string_split(file_path, '/')[:-2] AS ps FROM l) WHERE len(ps) > 0),
+e AS (SELECT repository_id, entry, folder, string_split(entry, '/') AS parts FROM d UNION ALL SELECT repository_id, file_path, false, string_split(file_path, '/') FROM l),
+k AS (SELECT *, len(parts) AS n, list_transform(generate_series(1, len(parts)), lambda i: {'k': CASE WHEN i = len(parts) AND NOT folder THEN 1 ELSE 0 END, 'name': lower(parts[i]), 'exact': parts[i]}) AS key FROM e WHERE len(parts) <= 3)"""
+#: the files a scan takes, by recursion over a repository's files in path order
+_BUDGET = """q AS (SELECT repository_id, file_path, size_bytes, row_number() OVER (PARTITION BY repository_id ORDER BY file_path) AS i FROM l WHERE size_bytes <= 1000000),
+r AS (SELECT repository_id, file_path, size_bytes, i, size_bytes <= 100000 AS ok, CASE WHEN size_bytes <= 100000 THEN 1 ELSE 0 END AS taken, CASE WHEN size_bytes <= 100000 THEN size_bytes ELSE 0 END AS used FROM q WHERE i = 1
+  UNION ALL SELECT x.repository_id, x.file_path, x.size_bytes, x.i, x.ok, x.taken + x.ok::INTEGER, x.used + CASE WHEN x.ok THEN x.size_bytes ELSE 0 END
+  FROM (SELECT q.*, r.taken, r.used, r.taken < 60 AND r.used + q.size_bytes <= 100000 AS ok FROM r JOIN q ON q.repository_id = r.repository_id AND q.i = r.i + 1) x)"""
+
+
+def _script_imports() -> str:
+    q = "[\"''`]"
+    patterns = {
+        "es import": rf"\bimport\s+(?:[^\"''`]+?\s+from\s+)?{q}([^\"''`]+){q}", "commonjs require": rf"\brequire\(\s*{q}([^\"''`]+){q}\s*\)", "dynamic import": rf"\bimport\(\s*{q}([^\"''`]+){q}\s*\)",
+    }
+    found = " UNION ".join(f"SELECT repository_id, file_path, line, unnest(regexp_extract_all(text, '{p}', 1)) AS target, '{kind}' AS import_type FROM p" for kind, p in patterns.items())
+    tries = [f"{{'o': {i}, 'c': stem || '{x}'}}" for i, x in enumerate((".js", ".jsx", ".ts", ".tsx"))] + [f"{{'o': {4 + i}, 'c': base || '/index{x}'}}" for i, x in enumerate((".js", ".jsx", ".ts", ".tsx"))]
+    return f"""i AS ({found}),
+w AS (SELECT DISTINCT repository_id, file_path, target, list_reduce(list_concat([array_to_string(string_split(file_path, '/')[:-2], '/')], list_filter(string_split(target, '/'), lambda x: x <> '' AND x <> '.')),
+  lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '(^|/)[^/]*$', '') WHEN a = '' THEN x ELSE a || '/' || x END) AS base FROM i WHERE target LIKE '.%'),
+t AS (SELECT repository_id, file_path, target, unnest([{", ".join(tries)}]) AS t FROM (SELECT *, regexp_replace(base, '([^/])\\.[^./]*$', '\\1') AS stem FROM w)),
+h AS (SELECT t.repository_id, t.file_path, target, arg_min(t.c, t.o) AS hit FROM t JOIN src ON src.repository_id = t.repository_id AND src.file_path = t.c GROUP BY 1, 2, 3)
+SELECT DISTINCT i.repository_id, i.file_path AS source_file, i.target, coalesce(hit, i.target) AS resolved_target, import_type, line FROM i LEFT JOIN h ON h.repository_id = i.repository_id AND h.file_path = i.file_path AND h.target = i.target"""
+
+
 def oracle_sql():
     f = O.FILES
     route = r"(?i)@(\w+)\.(get|post|put|delete|patch|options|head)\(\s*[\"']([^\"']+)[\"']".replace("'", "''")
@@ -210,6 +236,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY
         "repository_counts": f"""WITH {f}, {_LISTED}, p AS (SELECT repository_id, string_split(file_path, '/')[:-2] AS ps FROM l),
 d AS (SELECT repository_id, count(DISTINCT folder) AS folders FROM (SELECT repository_id, unnest(list_transform(generate_series(1, len(ps)), lambda i: array_to_string(ps[1:i], '/'))) AS folder FROM p WHERE len(ps) > 0) GROUP BY 1)
 SELECT repository_id, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages, coalesce(max(folders), 0) AS folders FROM l LEFT JOIN d USING (repository_id) GROUP BY 1""",
+        "directory_tree": f"WITH {f}, {_LISTED}, {_TREE} SELECT repository_id, place, repeat('    ', n - 1) || parts[n] || CASE WHEN folder THEN '/' ELSE '' END AS line FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY key) AS place FROM k) WHERE place <= 220",
+        "within_budget": f"WITH RECURSIVE {f}, {_LISTED}, {_BUDGET} SELECT repository_id, file_path, size_bytes FROM r WHERE ok",
+        "script_imports": f"""WITH {f}, {_SOURCE}, {_lines("p", "ext IN ('.js', '.jsx', '.ts', '.tsx')")}, {_script_imports()}""",
         "entry_points": f"WITH {f}, {_LISTED} SELECT DISTINCT repository_id, file_path FROM l WHERE {_in('string_split(file_path, chr(47))[-1]', S.ENTRY_NAMES)} OR {_in('file_path', S.ENTRY_PATHS)}",
         "tree_signature": f"WITH {f} SELECT repository_id, 4 AS version, count(*) AS files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, max(ord) AS latest FROM f GROUP BY 1",
         "file_hash_manifest": f"WITH {O.CHUNKS}, {_MANIFEST} SELECT * FROM m",
