@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunkers import chunk_files
+from ..operators.chunkers import SCHEMA, chunk_files
 from ..operators.maintain import apply_changes, build_manifest, diff_manifest
-from ..sources.store import spread
+from ..sources.store import drop_repositories, write_chunks, written
 
 FILES = "repository_id string, file_path string, content string, size_bytes bigint, ord int"
 
@@ -18,34 +18,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def update_index(spark: SparkSession, files: DataFrame, index: str, version: int) -> DataFrame:
-    """Writes version number version of the index at the folder index from the newest state of some repositories' files.
+def update_index(spark: SparkSession, files: DataFrame, index: str) -> DataFrame:
+    """Brings the chunk index at the folder index to the newest state of some repositories' files; returns the changes.
 
-    Other repositories stay as they are.  A version is a new folder, so a failed run leaves the last one whole;
-    running a version again gives the same result.  Returns the changes.
+    The index is partitioned by repository.  Only partitions of repositories in which a file changed are written, each
+    replaced as a whole when all of them are complete; other repositories are neither read nor copied.  A run that
+    fails before leaves the index as it was, and running a batch again gives the same result.  Rows without a repository are left out.
     """
-    current = chunk_files(files)
-    repos = files.select("repository_id").distinct()
-    last = next((v for v in range(version - 1, -1, -1) if _exists(spark, f"{index}/v{v}/_SUCCESS")), None)
-    if last is None:
-        none = build_manifest(current).where("false")
-        changes = diff_manifest(build_manifest(current), none)
-        spread(current).write.mode("overwrite").partitionBy("repository_id").parquet(f"{index}/v{version}")
-        return changes
-    old = spark.read.option("basePath", f"{index}/v{last}").parquet(f"{index}/v{last}").withColumn("repository_id", F.col("repository_id").cast("string"))
-    mine, rest = old.join(repos, "repository_id", "left_semi"), old.join(repos, "repository_id", "left_anti")
-    changes = diff_manifest(build_manifest(current), build_manifest(mine))
-    new = rest.unionByName(apply_changes(mine, current, changes))
-    spread(new).write.mode("overwrite").partitionBy("repository_id").parquet(f"{index}/v{version}")
+    known = files.where("repository_id is not null")
+    current, repos = written(chunk_files(known)), known.select("repository_id").distinct()
+    had = _exists(spark, index)
+    old = spark.read.schema(SCHEMA).parquet(index) if had else spark.createDataFrame([], SCHEMA)
+    mine = old.join(repos, "repository_id", "left_semi")
+    changes = written(diff_manifest(build_manifest(current), build_manifest(mine)))
+    touched = changes.where("change <> 'unchanged'").select("repository_id").distinct()
+    on = changes.join(touched, "repository_id", "left_semi")
+    write_chunks(apply_changes(mine, current, on).select(*current.columns), index)
+    # a repository that has no chunk any more has no rows that could replace its partition
+    gone = on.groupBy("repository_id").agg(F.min((F.col("change") == "removed").cast("int")).alias("empty")).where("empty = 1")
+    for r in gone.select("repository_id").toLocalIterator():
+        drop_repositories(spark, index, [r.repository_id])
     return changes
 
 
 def reindex_stream(spark: SparkSession, source: str, index: str, checkpoint: str):
-    """Starts a query that takes the files waiting in source and writes an index version a batch; call awaitTermination() on it."""
+    """Starts a query that takes the files waiting in source and brings the index up to date a batch; call awaitTermination() on it."""
     stream = spark.readStream.schema(FILES).parquet(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        update_index(spark, df, index, number)
+        update_index(spark, df, index)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -182,13 +182,17 @@ def test_limit_stream(spark, tmp_path):
 
 def test_reindex_stream(spark, files_of, tmp_path):
     src, index, cp = (str(tmp_path / x) for x in ("src", "index", "cp"))
-    files_of([("r", "a.py", "def f(): pass\n"), ("r", "b.txt", "gone"), ("q", "c.txt", "stays")]).write.parquet(src)
+    files_of([("r", "a.py", "def f(): pass\n"), ("r", "b.txt", "gone"), ("q", "c.txt", "stays"), ("007", "e.txt", "empty soon")]).write.parquet(src)
     RX.reindex_stream(spark, src, index, cp).awaitTermination()
-    files_of([("r", "a.py", "def g(): pass\n"), ("r", "d.txt", "new")]).write.mode("append").parquet(src)
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "index" / "repository_id=q").glob("*.parquet")}
+    files_of([("r", "a.py", "def g(): pass\n"), ("r", "d.txt", "new"), ("007", "e.txt", " "), (None, "f.txt", "x")]).write.mode("append").parquet(src)
     RX.reindex_stream(spark, src, index, cp).awaitTermination()
-    got = spark.read.parquet(f"{index}/v1").select(F.col("repository_id").cast("string").alias("r"), "file_path", "symbol_name").collect()
-    assert sorted((x.r, x.file_path, x.symbol_name) for x in got) == [("q", "c.txt", ""), ("r", "a.py", "g"), ("r", "d.txt", "")]
-    assert {r.change for r in RX.update_index(spark, files_of([("r", "a.py", "def g(): pass\n"), ("r", "d.txt", "new")]), index, 2).collect()} == {"unchanged"}
+    read = lambda: sorted((x.repository_id, x.file_path, x.symbol_name) for x in spark.read.schema(C.SCHEMA).parquet(index).collect())
+    assert read() == [("q", "c.txt", ""), ("r", "a.py", "g"), ("r", "d.txt", "")]
+    assert untouched and all(p.stat().st_mtime_ns == t for p, t in untouched.items())
+    again = files_of([("r", "a.py", "def g(): pass\n"), ("r", "d.txt", "new")])
+    assert {r.change for r in RX.update_index(spark, again, index).collect()} == {"unchanged"} and len(read()) == 3
+    assert RX.update_index(spark, again.limit(0), index).count() == 0 and len(read()) == 3
 
 
 def test_audit_stream(spark, tmp_path):
