@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import EMBED_TOKEN_PYTHON, TOKEN_PYTHON, intents, keywords, occurrences, path_priority, tokens
+from ..sources.store import written
 from .corpus import KEY
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
@@ -207,63 +208,53 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest vectors by squared distance of every query, exact.
 
-    Queries go to the tasks in blocks of a fixed number, each block against all vectors with matrix
-    products; a task keeps k candidates a query and batch, so what is shuffled doesn't grow with
-    pairs.  Vectors or queries that are null or of another length than the first query's have no
-    neighbours.  vectors(vec_id, embedding), queries(query_id, embedding).
+    Vectors are read once.  Queries are written beside the checkpoints; each task reads them from there in blocks
+    of a fixed number, so none pass the driver and a task never holds them all.  Distances are matrix products, and a
+    task keeps k candidates a query and batch, so what is shuffled doesn't grow with pairs.  Neighbours have the query's
+    length; null vectors, queries and ids have none.  Of several queries under an id the greatest counts.
+    vectors(vec_id, embedding), queries(query_id, embedding).
     """
-    spark = vectors.sparkSession
-    rows = queries.where("embedding is not null").select("query_id", "embedding").dropDuplicates(["query_id"]).orderBy("query_id").toLocalIterator()
-    ids: list[int] = []
-    held: list[list[float]] = []
-    parts: list[DataFrame] = []
-    schema = "query_id bigint, vec_id bigint, distance double"
-
-    def scan(block_ids: list[int], block_rows: list[list[float]]) -> DataFrame:
+    own = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("embedding"))
+    files = sorted(written(own.groupBy("query_id").agg(F.max("embedding").alias("embedding"))).inputFiles())
+
+    def of_length(column):
         import numpy as np
 
-        sent = spark.sparkContext.broadcast((np.asarray(block_ids, np.int64), np.asarray(block_rows, np.float64)))
-
-        def search(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            qid, q = sent.value
-            for b in batches:
-                vid = np.asarray(b.column(0).to_pylist(), np.int64)
-                flat = [x if x is not None and len(x) == q.shape[1] else None for x in b.column(1).to_pylist()]
-                good = [i for i, x in enumerate(flat) if x is not None]
-                if not good:
-                    continue
-                v, vid = np.asarray([flat[i] for i in good], np.float64), vid[good]
-                d = np.empty((len(q), len(v)))
-                for a in range(0, len(q), 128):
-                    d[a : a + 128] = ((q[a : a + 128, None, :] - v[None, :, :]) ** 2).sum(axis=2) if len(v) * q.shape[1] * 128 < 20_000_000 else (q[a : a + 128] ** 2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q[a : a + 128] @ v.T
-                keep = np.lexsort((np.broadcast_to(vid, d.shape), np.round(d, 9)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qid, keep.shape[1])), pa.array(vid[keep].ravel()), pa.array(np.round(np.take_along_axis(d, keep, 1), 9).ravel())], ["query_id", "vec_id", "distance"]
-                )
-
-        return vectors.select(F.col("vec_id").cast("bigint"), "embedding").where("vec_id is not null").mapInArrow(search, schema)
-
-    for r in rows:
-        if held and len(r.embedding) != len(held[0]):
-            continue
-        ids.append(r.query_id)
-        held.append(list(r.embedding))
-        if len(held) == block:
-            parts.append(scan(ids, held))
-            ids, held = [], []
-    if held:
-        parts.append(scan(ids, held))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
+        rows: dict[int, list[int]] = {}
+        values = column.to_pylist()
+        for i, x in enumerate(values):
+            if x is not None and None not in x:
+                rows.setdefault(len(x), []).append(i)
+        return {n: (np.asarray(at), np.asarray([values[i] for i in at], np.float64).reshape(len(at), n)) for n, at in rows.items()}
+
+    def search(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            ids, held = np.asarray(b.column(0).to_pylist(), np.int64), of_length(b.column(1))
+            for uri in files if held else ():
+                fs, path = FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as f:
+                    for part in pq.ParquetFile(f).iter_batches(batch_size=block):
+                        qids = np.asarray(part.column(0).to_pylist(), np.int64)
+                        for n, (at, q) in of_length(part.column(1)).items():
+                            if n not in held:
+                                continue
+                            mine, v = held[n]
+                            d = np.round((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 9)
+                            d = np.maximum(d, 0.0)
+                            keep = np.lexsort((np.broadcast_to(ids[mine], d.shape), d), axis=1)[:, :k]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[at], keep.shape[1])), pa.array(ids[mine][keep].ravel()), pa.array(np.take_along_axis(d, keep, 1).ravel())], ["query_id", "vec_id", "distance"])
+
+    found = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(search, "query_id bigint, vec_id bigint, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    found = reduce(DataFrame.unionByName, parts).distinct().withColumn("rank", F.row_number().over(order))
-    return found.where(F.col("rank") <= k)
+    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def embed(text: str | None, dimensions: int) -> list[float]:
