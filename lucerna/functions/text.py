@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # The token pattern (one token a Chinese character) and that of the hashed embedding (runs of them).
 TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[\x{4e00}-\x{9fff}]|[0-9]+"
 TOKEN_PYTHON = r"[a-zA-Z_][a-zA-Z0-9_]*|[一-鿿]|[0-9]+"
+EMBED_TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[\x{4e00}-\x{9fff}]+|\d+"
 EMBED_TOKEN_PYTHON = r"[a-zA-Z_][a-zA-Z0-9_]*|[一-鿿]+|\d+"
 
 # Words in a question that show an intent, and the vocabulary that the intent adds.

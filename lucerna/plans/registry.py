@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import files, repository, search
+from . import files, repository, search, texts
 
-MODULES = [search, repository, files]
+MODULES = [search, repository, files, texts]
 
 
 def queries() -> dict:

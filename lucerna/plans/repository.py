@@ -114,7 +114,6 @@ def queries():
         "startup_hints": _files(A.startup_hints),
         "deployment_methods": _files(A.deployment_methods),
         "environment_variables": _files(A.environment_variables, limit=None),
-        "environment_variables_shown": _files(A.environment_variables),
     }
 
 
