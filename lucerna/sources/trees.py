@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import stat
@@ -268,9 +269,19 @@ def inspect_archives(entries: DataFrame) -> DataFrame:
     return j.select("archive", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("folders", F.lit(0)).alias("folders"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("packed_bytes", F.lit(0)).alias("packed_bytes"), error.alias("error"))
 
 
+def composed(text: Column) -> Column:
+    """A text with its characters composed (NFC); null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return run(text)
+
+
 def archive_name(encoded: Column) -> Column:
     """Decoded name of an upload, or null if it isn't a plain .zip name."""
-    name = F.trim(F.try_url_decode(F.regexp_replace(encoded, r"\+", "%2B")))
+    name = composed(F.trim(F.try_url_decode(F.regexp_replace(encoded, r"\+", "%2B"))))
     bad = (F.length(name) > 180) | name.rlike(r"[/\\:\x00-\x1f\x7f]|\p{Cf}|�") | ~F.lower(name).endswith(".zip") | (F.regexp_replace(F.substr(name, F.lit(1), F.greatest(F.length(name) - 4, F.lit(0))), r"[ .]", "") == "")
     return F.when((name != "") & ~bad, name)
 
@@ -319,7 +330,7 @@ def remote_tree(listings: DataFrame) -> DataFrame:
     """
     t = listings.select("repository_id", F.from_json("json", _LISTING).alias("j")).where(~F.coalesce(F.col("j.truncated"), F.lit(False)))
     b = t.select("repository_id", F.explode("j.tree").alias("e")).where("e.type = 'blob'").select("repository_id", F.col("e.path").alias("file_path"), F.col("e.size").alias("size_bytes"), F.col("e.sha").alias("sha"))
-    b = b.where(included(F.col("file_path")) & (F.coalesce("size_bytes", F.lit(0)) <= MAX_FILE_BYTES))
+    b = b.where(included(F.col("file_path")) & F.col("size_bytes").between(1, MAX_FILE_BYTES))
     return b.withColumn("ord", F.row_number().over(Window.partitionBy("repository_id").orderBy("file_path")))
 
 
@@ -337,11 +348,32 @@ def remote_files(tree: DataFrame, blobs: DataFrame) -> DataFrame:
     return t.select("repository_id", "file_path", text_of(F.col("raw"), F.col("file_path")).alias("content"), "size_bytes", "ord").where("content is not null")
 
 
+def unescaped(text: Column) -> Column:
+    """Character references of a text resolved; null stays null."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else html.unescape(t))
+
+    return run(text)
+
+
+_EMBEDDED = "payload struct<codeViewRepoRoute:struct<tree:struct<items:array<struct<path:string,contentType:string>>>>>"
+
+
 def page_links(pages: DataFrame, owner: str, name: str) -> DataFrame:
-    """(page, kind, path) of the links to files ('blob') and folders ('tree') of a repository in pages(page, html)."""
+    """(page, kind, path) of the files ('blob') and folders ('tree') of a repository in pages(page, html).
+
+    Entries come from the data embedded in a page and from its links; data that doesn't parse has none.
+    """
     pattern = rf"href=\"/{re.escape(owner)}/{re.escape(name)}/(blob|tree)/[^/\"]+/([^\"#?]+)"
     hits = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("kind"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("path"))
-    return pages.select("page", F.explode(hits).alias("h")).select("page", "h.kind", F.try_url_decode(F.regexp_replace("h.path", r"\+", "%2B")).alias("path")).distinct()
+    links = pages.select("page", F.explode(hits).alias("h")).select("page", "h.kind", F.try_url_decode(F.regexp_replace(unescaped(F.col("h.path")), r"\+", "%2B")).alias("path"))
+    data = F.nullif(F.regexp_extract("html", r"(?s)<script[^>]+data-target=\"react-app\.embeddedData\"[^>]*>(.*?)</script>", 1), F.lit(""))
+    items = F.from_json(unescaped(data), _EMBEDDED)["payload"]["codeViewRepoRoute"]["tree"]["items"]
+    kind = F.when(F.col("e.contentType") == "directory", "tree").when(F.col("e.contentType") == "file", "blob")
+    inside = pages.select("page", F.explode(items).alias("e")).select("page", kind.alias("kind"), F.regexp_replace("e.path", "^/+|/+$", "").alias("path"))
+    return links.unionByName(inside).where("kind is not null and path is not null").distinct()
 
 
 def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:

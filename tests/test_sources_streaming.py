@@ -2,6 +2,7 @@
 
 import ast
 import base64
+import html
 import io
 import json
 import random
@@ -138,7 +139,7 @@ def test_remote_files(spark):
     assert [(r.repository_id, r.file_path, r.content, r.ord) for r in got] == [("r", "a.py", "x = 'é'" * 30, 1)]
 
 
-@pytest.mark.parametrize(("name", "want"), [("a%20b.zip", "a b.zip"), ("x.ZIP", "x.ZIP"), ("..%2Fx.zip", None), (".zip", None), ("a.tar", None), ("a%00.zip", None), ("%FF.zip", None), ("a:b.zip", None), ("a+b.zip", "a+b.zip"), ("", None), (None, None)])
+@pytest.mark.parametrize(("name", "want"), [("a%20b.zip", "a b.zip"), ("x.ZIP", "x.ZIP"), ("..%2Fx.zip", None), (".zip", None), ("a.tar", None), ("a%00.zip", None), ("%FF.zip", None), ("a:b.zip", None), ("a+b.zip", "a+b.zip"), ("e%CC%81.zip", "\u00e9.zip"), ("", None), (None, None)])
 def test_archive_names(spark, name, want):
     assert spark.createDataFrame([(name,)], "n string").select(TR.archive_name(F.col("n")).alias("x")).first().x == want
 
@@ -149,6 +150,10 @@ def test_remote(spark, tmp_path):
     assert [(r.repository_id, r.file_path, r.ord) for r in TR.remote_tree(j).orderBy("ord").collect()] == [("r", "a.py", 1), ("r", "b.py", 2)]
     pages = spark.createDataFrame([("p", '<a href="/o/n/blob/main/src/a%20b.py">x</a><a href="/o/n/tree/main/docs">d</a><a href="/o/other/blob/main/x">y</a>')], "page string, html string")
     assert {(r.kind, r.path) for r in TR.page_links(pages, "o", "n").collect()} == {("blob", "src/a b.py"), ("tree", "docs")}
+    items = {"payload": {"codeViewRepoRoute": {"tree": {"items": [{"path": "src/x&y.py", "contentType": "file"}, {"path": "/docs/", "contentType": "directory"}, {"path": "m", "contentType": "submodule"}, {"path": None, "contentType": "file"}]}}}}
+    embedded = f'<script type="application/json" data-target="react-app.embeddedData">{html.escape(json.dumps(items))}</script>'
+    pages = spark.createDataFrame([("p", embedded + '<a href="/o/n/blob/main/a&amp;b.py">x</a>'), ("q", '<script data-target="react-app.embeddedData">{</script>'), ("n", None)], "page string, html string")
+    assert {(r.page, r.kind, r.path) for r in TR.page_links(pages, "o", "n").collect()} == {("p", "blob", "src/x&y.py"), ("p", "tree", "docs"), ("p", "blob", "a&b.py")}
     (tmp_path / "a.json").write_text('{"repository_id": "r", "chunk_count": 3}')
     (tmp_path / "b.json").write_text('{"repository_id": ')
     assert [r.repository_id for r in TR.read_manifests(spark, str(tmp_path), "repository_id string, chunk_count int").collect()] == ["r"]
