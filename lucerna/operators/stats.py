@@ -79,8 +79,8 @@ def within_budget(files: DataFrame, max_files: int = 5000, max_bytes: int = 80_0
     """The files a scan takes, in path order: at most max_files, skipping each that would exceed the remaining bytes.
 
     Skipping and going on isn't a running sum.  Where a repository's files fit as a whole -- nearly always --
-    two aggregates decide for all at once.  The files of a repository beyond a limit are folded in order, as
-    rows of path and size only; contents never take part.
+    two aggregates decide for all at once.  The files of a repository beyond a limit stream in path order through a task that
+    holds two counters; only paths and sizes take part, and the sort before it spills.
     """
     f = listed(files).where(F.col("size_bytes") <= max_file_bytes)
     total = f.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"))
@@ -88,13 +88,17 @@ def within_budget(files: DataFrame, max_files: int = 5000, max_bytes: int = 80_0
     easy = f.join(total.where(fits).select("repository_id"), "repository_id", "left_semi")
     hard = f.join(total.where(~fits).select("repository_id"), "repository_id", "left_semi")
 
-    def ordered(pdf):
-        pdf = pdf.sort_values("file_path")
-        keep, taken, used = [], 0, 0
-        for size in pdf["size_bytes"]:
-            keep.append(taken < max_files and used + size <= max_bytes)
-            if keep[-1]:
-                taken, used = taken + 1, used + int(size)
-        return pdf[keep]
-
-    return easy.unionByName(hard.groupBy("repository_id").applyInPandas(ordered, "repository_id string, file_path string, size_bytes bigint"))
+    def stream(batches):
+        repo, taken, used = None, 0, 0
+        for b in batches:
+            keep = []
+            for r, size in zip(b["repository_id"].tolist(), b["size_bytes"].tolist(), strict=True):
+                if r != repo:
+                    repo, taken, used = r, 0, 0
+                keep.append(taken < max_files and used + size <= max_bytes)
+                if keep[-1]:
+                    taken, used = taken + 1, used + size
+            yield b[keep]
+
+    ordered = hard.repartition("repository_id").sortWithinPartitions("repository_id", "file_path")
+    return easy.unionByName(ordered.mapInPandas(stream, "repository_id string, file_path string, size_bytes bigint"))

@@ -21,6 +21,12 @@ def rate_limit_exact(s, d):
     return limited_requests(e, "actor_id", "at", "audit_id", limit=3, seconds=86_400)
 
 
+def markdown_sections(s, d):
+    """Chunks of the Markdown files that have headings; a section of more than two chunks comes in pieces."""
+    c = chunk_files(unique_files(read(s, d, "files"))).where("language = 'markdown' and symbol_type = 'section'")
+    return c.select("repository_id", "file_path", "chunk_index", F.col("start_line").cast("bigint").alias("start_line"), "symbol_name", "content")
+
+
 def fallback_answer(s, d):
     c = searchable(read(s, d, "chunks"))
     return report.evidence(keyword_chunks(c, SECOND, 5), c)
@@ -29,6 +35,7 @@ def fallback_answer(s, d):
 def queries():
     return {
         "chunk_files": lambda s, d: chunk_files(unique_files(read(s, d, "files"))),
+        "markdown_sections": markdown_sections,
         "project_reports": lambda s, d: report.reports(read(s, d, "files")),
         "front_pages": lambda s, d: report.front_pages(read(s, d, "files")),
         "fallback_answer": fallback_answer,
@@ -37,8 +44,14 @@ def queries():
 
 
 def oracle_sql():
-    from .repository import _redact
+    from .repository import _ENDS, _LANGUAGE, _redact
 
+    ls = f"CASE WHEN content = '' THEN [] ELSE string_split_regex(regexp_replace(content, '(?:{_ENDS})$', ''), '{_ENDS}') END"
+    sections = f"""WITH {O.FILES}, p AS (SELECT repository_id, file_path, {ls} AS ls FROM f WHERE content IS NOT NULL AND {_LANGUAGE} = 'markdown'),
+l AS (SELECT repository_id, file_path, ls, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM p),
+h AS (SELECT *, lead(line) OVER (PARTITION BY repository_id, file_path ORDER BY line) AS next FROM l WHERE text LIKE '#%'),
+c AS (SELECT repository_id, file_path, line, regexp_replace(regexp_replace(text, '^#+', ''), '^\\s+|\\s+$', '', 'g') AS symbol_name, regexp_replace(array_to_string(ls[line:coalesce(next - 1, len(ls))], chr(10)), '^\\s+|\\s+$', '', 'g') AS content FROM h)
+SELECT repository_id, file_path, CAST(row_number() OVER (PARTITION BY repository_id, file_path ORDER BY line) - 1 AS INTEGER) AS chunk_index, line AS start_line, symbol_name, content FROM c WHERE content <> ''"""
     # requests in the order of an actor, each with the times that passed before it and still count
     limits = """WITH RECURSIVE a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY arrived_at NULLS FIRST, logged_at NULLS FIRST, event NULLS FIRST, outcome NULLS FIRST, actor_id NULLS FIRST, repository_fingerprint NULLS FIRST) AS rn FROM audit_log WHERE audit_id IS NOT NULL) WHERE rn = 1),
 t AS (SELECT audit_id, actor_id, CASE WHEN regexp_full_match(trim(logged_at), '\\d{9,11}(\\.\\d+)?') THEN trim(logged_at)::DOUBLE
@@ -52,4 +65,4 @@ SELECT audit_id, actor_id, allowed FROM r"""
     answer = f"""WITH {O.CHUNKS}, {O.keyword_list("k", SECOND, 5)}, x AS (SELECT k.repository_id, k.rank, file_path, chunk_index, start_line, end_line, symbol_name, {flat} AS flat FROM k JOIN c USING (repository_id, file_path, chunk_index))
 SELECT repository_id, string_agg(rank || '. ' || CASE WHEN length(flat) > 260 THEN substring(flat, 1, 260) || '...' ELSE flat END || chr(10) || '   `' || file_path || '#' || chunk_index || ' lines ' || coalesce(start_line::VARCHAR, '?') || '-' || coalesce(end_line::VARCHAR, '?')
   || CASE WHEN coalesce(symbol_name, '') <> '' THEN ' symbol=' || symbol_name ELSE '' END || '`', chr(10) ORDER BY rank) AS answer FROM x GROUP BY 1"""
-    return {"rate_limit_exact": limits, "fallback_answer": answer}
+    return {"markdown_sections": sections, "rate_limit_exact": limits, "fallback_answer": answer}

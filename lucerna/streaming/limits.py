@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -26,27 +27,31 @@ def _pass(times: list[float], passed: list[float], limit: int, seconds: float) -
 def limited_requests(events: DataFrame, key: str, time: str, order: str, limit: int = 120, seconds: int = 60) -> DataFrame:
     """(order, key, allowed) of every request; rows with a null key or time are left out.
 
-    A pause longer than the window clears a key's state, so its requests are cut into bursts at such pauses.
-    Only bursts in which some window holds more than limit requests are folded one by one; a burst, not a
-    key, is the largest group.  Requests at one time are taken in the order of their id.
+    Whether a request passes depends on those that passed before it, so each key's requests are taken in order of time and id.
+    They stream through a task that holds the passed times of one window, at most limit of them, never a
+    key's requests; the sort before it spills.
     """
     t = F.col(time).cast("timestamp").cast("double")
     e = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(order).alias("id"), F.col(key).alias("who"), t.alias("at"))
-    w = Window.partitionBy("who").orderBy("at", "id")
-    e = e.withColumn("start", (F.col("at") - F.lag("at").over(w) > seconds).cast("int"))
-    e = e.withColumn("burst", F.sum(F.coalesce("start", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("who").orderBy("at").rangeBetween(-seconds, 0)))
-    e = e.withColumn("most", F.max("n").over(Window.partitionBy("who", "burst")))
-    easy = e.where(F.col("most") <= limit).select("id", "who", F.lit(True).alias("allowed"))
     kinds = dict(e.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        ok, _ = _pass(pdf["at"].tolist(), [], limit, seconds)
-        return pd.DataFrame({"id": pdf["id"], "who": pdf["who"], "allowed": ok})
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, passed = None, deque()
+        for b in batches:
+            ok = []
+            for w, at in zip(b["who"].tolist(), b["at"].tolist(), strict=True):
+                if w != who:
+                    who, passed = w, deque()
+                while passed and passed[0] < at - seconds:
+                    passed.popleft()
+                ok.append(len(passed) < limit)
+                if ok[-1]:
+                    passed.append(at)
+            yield pd.DataFrame({"id": b["id"], "who": b["who"], "allowed": ok})
 
-    hard = e.where(F.col("most") > limit).groupBy("who", "burst").applyInPandas(fold, f"id {kinds['id']}, who {kinds['who']}, allowed boolean")
-    return easy.unionByName(hard).select(F.col("id").alias(order), F.col("who").alias(key), "allowed")
+    sorted_ = e.repartition("who").sortWithinPartitions("who", "at", "id")
+    out = sorted_.mapInPandas(stream, f"id {kinds['id']}, who {kinds['who']}, allowed boolean")
+    return out.select(F.col("id").alias(order), F.col("who").alias(key), "allowed")
 
 
 def limit_stream(stream: DataFrame, limit: int = 120, seconds: int = 60) -> DataFrame:
