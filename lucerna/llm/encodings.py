@@ -229,6 +229,10 @@ def utf8_search(units: Units, model: Model) -> tuple[str, float] | None:
     return "".join(reversed(out)), score
 
 
+#: Strings of more letters than this are no words, so word frequencies have nothing to say about them.
+LONGEST_WORD = 40
+
+
 def fill(text: str, model: Model) -> str:
     """Characters for lost single bytes: the best path through each word's lattice of all known letters by pairs, then
     changed place by place as long as word frequencies prefer it."""
@@ -253,7 +257,7 @@ def fill(text: str, model: Model) -> str:
             out.append(options[k][at])
         out.reverse()
         places, changed = [i for i, c in enumerate(t) if c == LOST], True
-        while changed and len(t) > len(places):
+        while changed and len(places) < len(t) <= LONGEST_WORD:
             changed = False
             for i in places:
                 found = max(letters, key=lambda c: model.token("".join([*out[:i], c, *out[i + 1 :]])))

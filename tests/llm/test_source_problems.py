@@ -270,6 +270,8 @@ def test_lost_bytes_are_decided_by_the_search(prose_model):
     assert [(t, encodings.decode_line(t, prose_model)) for t in sound if encodings.decode_line(t, prose_model)] == []
     assert encodings.decode_line("voilÃ  le fichier", prose_model)[1] == "voilà le fichier" and "Größe" in encodings.decode_line("Gr\ufffd\ufffde", prose_model)[1]
     assert encodings.decode_line("Gr\ufffd\ufffde " * 400, prose_model)[1].count("Größe") == 400  # no bound on marks
+    began = time.time()
+    assert encodings.decode_line("a" + "\ufffd" * 3000, prose_model)[2] and time.time() - began < 20  # nor a long time for garbage
 
 
 def test_search_against_brute_force(prose_model):
