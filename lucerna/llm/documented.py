@@ -129,7 +129,7 @@ _TAG = re.compile(r"(?i)^\s*(?:[@\\](?:param|arg|argument|return|returns|throws|
 _SECTION = re.compile(r"(?i)^\s*(?:args|arguments|parameters|params|returns?|yields?|raises|throws|keyword args|other parameters|attributes|examples?|see also|references|参数|返回值?|inputs?|outputs?|errors?|exceptions?)\s*[:：]?\s*$")
 _FIELD = re.compile(r"^\s*[-*•]?\s*`?\*{0,2}[\w.$]+`?\s*(?:\([^)]*\))?\s*(?::|--?|–|—)\s")
 _CODE = re.compile(
-    r"[;{]\s*$|^\s*[})\]]+[;,]?\s*$|^\s*(?:return|if|for|while|switch|const|let|var|import|from|raise|throw|await|try|catch|else|elif|except|break|continue|print|defer|func|def|class|public|private|export|assert|del|pass)\b.*[=(){};:]|^\s*[\w.$\[\]\"']+\s*(?::=|[-+*/|&]?=(?!=))\s*\S|^\s*[\w.$]+\([^)]*\)\s*[;.]?\s*$|=>|\w+\(.*\)\s*;|;\s*\w+\s*="
+    r"[;{]\s*$|^\s*[})\]]+[;,]?\s*$|^\s*(?:return|if|for|while|switch|const|let|var|import|from|raise|throw|await|try|catch|else|elif|except|break|continue|print|defer|func|def|class|public|private|export|assert|del|pass)\b.*[=(){};:]|^\s*[\w.$\[\]\"']+\s*(?::=|[-+*/|&]?=(?!=))\s*\S|^\s*[\w.$]+\([^)]*\)\s*[;.]?\s*$|=>|\b\w++\(.*\)\s*;|;\s*\w+\s*="
 )
 _HAN = re.compile(r"[㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")

@@ -40,7 +40,8 @@ _NAME = (
     r"credentials?|authorization|auth[._-]?key|令牌|密钥"
 )
 _KEYED = re.compile(
-    rf"""(?ix)(?P<key>[\w.\-]*?(?:{_NAME})[\w.\-]*)(?P<quote>\\?["'`]?)\]?\)?
+    # a key begins where no letter of a key stands before it, so a long string is read once and not from each of its letters
+    rf"""(?ix)(?<![A-Za-z0-9_.\-])(?P<key>(?>[A-Za-z0-9_.\-]*?(?:{_NAME})[A-Za-z0-9_.\-]*))(?P<quote>\\?["'`]?)\]?\)?
     (?:[ ]?\??:[ ]?[A-Za-z][\w.<>\[\]| ]*?(?=[ ]=[ ]))?
     (?P<sep>[ \t]*(?:=>|:=|=|:|：|\|\||\?\?|,|\bor\b)[ \t]*|[ ](?:is|was|lautet|est|es|eh|ist)[ ]|[ ]?[是为][ ：]?)
     (?:\(|new[ ]\w+\()?[ ]?(?:(?:f|r|b|@)(?=\\?["'`]))?
@@ -59,7 +60,7 @@ _SHAPES = re.compile(
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:[\sA-Za-z0-9+/=:,\\\"'`.;()-]|<)*?)(?:-----END[^-\n]*-----|\Z)")
 _BEARER = re.compile(r"(?i)\bbearer[ =:]+([\w\-.~+/=$]{12,})")
 _BASIC = re.compile(r"\b[Bb]asic[ ]+([A-Za-z0-9+/]{8,}={0,2})")
-_USERINFO = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@"'<>`]*:([^\s/"'<>`]+?)@(?=[\w\[$<{-])""")
+_USERINFO = re.compile(r"""(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@"'<>`]*:([^\s/"'<>`]+?)@(?=[\w\[$<{-])""")
 _QUERY = re.compile(r"""(?i)[?&;](?:[\w-]*(?:sig|signature|token|key|secret|passw(?:or)?d|pwd|auth)[\w-]*)=([^\s&"'`<>;#]+)""")
 _PARTS = re.compile(r"""(?i)(?:^|[;"'\s])(?:password|pwd|accountkey|sharedaccesskey|shared[ ]access[ ]key)[ ]?=[ ]?([^;"'`\s]+)""")
 _PLACEHOLDER = re.compile(
@@ -76,7 +77,7 @@ _LOOSE = re.compile(r"(?<![^\s\"'`=:,(\[{])(?=[^\W_a-z]*[a-z])(?=[^\W_]*?\d)[A-Z
 _NO_SECRET_LINE = re.compile(r"(?i)(?:hash|checksum|sha-?\d|md5|crc|digest|fingerprint|integrity|signature|public|ssh-|certificate|commit|revision|\brev\b|etag|uuid|guid|(?:^|[^a-z])ids?(?![a-z])|(?-i:[a-z]Ids?(?![a-z]))|base64|data:|h1:|nonce|\bpub|https?://)")
 _ENCODED_BLOCK = re.compile(r"-----BEGIN [^-\n]+-----[\s\S]*?(?:-----END[^-\n]*-----|\Z)")
 _HUMAN = re.compile(r"^[A-Za-z]{3,}(?:[-+.!_#*?&@][A-Za-z]{3,})*[-+.!_#*?&@]?\d{2,}[-+.!_#*?&@]?$")
-_NAME_LIKE = re.compile(r"^_*[A-Za-z]+(?:[._-]+[A-Za-z]+)*_*\d{0,2}$|^[a-z_]+(?:[._-][a-z]+)*_?\d{0,3}$")
+_NAME_LIKE = re.compile(r"^_*[A-Za-z]+(?:[._-]+[A-Za-z]+)*_*\d{0,2}$|^[a-z_]++(?:[.-][a-z_]++)*\d{0,3}$")
 
 #: The most characters a subword of values that count, by what they are made of: letters as in a name, words with digits as people
 #: choose them, anything else; and by the place: of a password, of another secret, in an address.

@@ -220,6 +220,16 @@ def test_the_statistic_decides(monkeypatch):
     assert [t for t in NATURAL + RANDOM if secrets.secret_spans(t)] == []
 
 
+@pytest.mark.parametrize("unit", ["a", "aA1b", "0f", "-", "a.", "a_", "pass_", "é", "中", "a=", "a:", '"a" '])
+def test_very_long_strings_take_linear_time(unit):
+    text = unit * (100_000 // len(unit))
+    began = time.time()
+    secrets.secret_spans("password = " + text + "\n// token: " + text)
+    documented.documented(f"/** {SAID} {text} */ function f(a) {{ }}", "javascript")
+    unwritten.reason("a.js", text)
+    assert time.time() - began < 10
+
+
 def test_redaction_keeps_offsets(spark, files_of):
     text = "a = 1\r\n" + "\n".join(SECRETS) + "\nend İ\n"
     spans = secrets.secret_spans(text)
